@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, packing, simhash, toxicity
+from . import embdedup, langid, packing, revisit, simhash, toxicity, urlfilter
 from .common import remainder, table
 
 
@@ -21,6 +22,15 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisit.resolve(revisit.captures_of(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", revisit.header_lines(F.col("headers")))
+
+
+def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels, usable=remainder("doc_id", 3) != 1)
@@ -32,10 +42,17 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), k=3, max_bits=3)
 
 
+def op10_embdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.vector_components(table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op10_embdedup": op10_embdedup,
         "op1_langid": op1_langid,
         "op5_packing": op5_packing,
+        "op6_revisit": op6_revisit,
+        "op7_urlfilter": op7_urlfilter,
         "op8_toxicity": op8_toxicity,
         "op9_simhash": op9_simhash,
     }
