@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embdedup, langid, packing, revisit, simhash, toxicity, urlfilter
+from . import embdedup, htmltext, langid, packing, revisit, simhash, toxicity, urlfilter
 from .common import remainder, table
 
 
@@ -18,6 +18,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_embdedup": op10_embdedup,
         "op1_langid": op1_langid,
+        "op3_html": op3_html,
         "op5_packing": op5_packing,
         "op6_revisit": op6_revisit,
         "op7_urlfilter": op7_urlfilter,
