@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embdedup, htmltext, langid, packing, revisit, simhash, toxicity, urlfilter
+from . import decontam, embdedup, htmltext, langid, mixlm, packing, revisit, simhash, toxicity, urlfilter
 from .common import remainder, table
 
 
@@ -18,10 +18,21 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_mixlm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, counts = mixlm.train(docs, usable=remainder("doc_id", 5) != 1)
+    found = mixlm.scores(docs, model, counts)
+    return found.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), *found.columns[1:])
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -54,7 +65,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op10_embdedup": op10_embdedup,
         "op1_langid": op1_langid,
+        "op2_decontam": op2_decontam,
         "op3_html": op3_html,
+        "op4_mixlm": op4_mixlm,
         "op5_packing": op5_packing,
         "op6_revisit": op6_revisit,
         "op7_urlfilter": op7_urlfilter,
