@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,8 +139,6 @@ def decode(nodes: DataFrame, edges: DataFrame, gold: DataFrame | None = None, le
     ``gold(doc, num_nodes, num_edges)``; a number of 0 constrains nothing.  Status
     is ``ok``, or ``infeasible`` where no forest has the wanted size.
     """
-    import pandas as pd
-
     if length not in ("nolen", "nodes", "edges"):
         raise ValueError(f"unknown length {length!r}")
     ship(nodes.sparkSession)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -112,8 +113,6 @@ def common_subsequence(a: list[str], b: list[str], weight: float | None = None)
 
 def rouge_l(pairs: DataFrame, alpha: float = 0.5, weight: float | None = None) -> DataFrame:
     """As ``overlap``, for the longest common subsequence of all words; with ``weight``, ROUGE-W."""
-    import pandas as pd
-
     ship(pairs.sparkSession)
 
     @F.pandas_udf("double")
