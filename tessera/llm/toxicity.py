@@ -188,8 +188,37 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> np.ndarray:
     return w
 
 
+def distinct_texts(texts: list[bytes]) -> list[int]:
+    """Places of texts, one of each group of near copies: those that share a min-hash of three-word shingles.
+
+    Copies of one toxic text would make all of its words look toxic.
+    """
+    from .simhash import shingle_hashes
+
+    odd = np.random.default_rng(3).integers(0, 1 << 63, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    seen: set[tuple[int, int]] = set()
+    kept = []
+    for i, t in enumerate(texts):
+        hashes = shingle_hashes(t, 3)
+        if not len(hashes):
+            continue
+        keys = {(k, int((hashes * m).min())) for k, m in enumerate(odd)}
+        if not keys & seen:
+            kept.append(i)
+        seen |= keys
+    return kept
+
+
+def disguised(word: str) -> list[str]:
+    """The word with one character put in at three places."""
+    n = len(word)
+    return [word[:i] + c + word[i:] for i, c in ((2, "x"), (n // 2, word[n // 2]), (n - 1, "q"))]
+
+
 def fit(texts: list[bytes], toxic: list[int], landmarks: int = LANDMARKS) -> ToxicModel:
     """Train on labelled texts.  One class alone gives a model that finds nothing toxic."""
+    kept = distinct_texts(texts)
+    texts, toxic = [texts[i] for i in kept], [toxic[i] for i in kept]
     y = np.array(toxic)
     model = ToxicModel()
     if not len(y) or y.min() == y.max():
@@ -214,6 +243,8 @@ def fit(texts: list[bytes], toxic: list[int], landmarks: int = LANDMARKS) -> Tox
         neg = neg[:TRAIN_CLEAN_UNITS]
         if not neg:
             return model
+        # Virtual examples: witnesses with a character put in, as insults are disguised.
+        pos += [v for w in pos[: landmarks * 2 // 3] if len(w) > 3 for v in disguised(w) if v not in good]
         marks = pos[: landmarks * 2 // 3]
         marks = marks + neg[:: max(1, len(neg) // (landmarks - len(marks)))][: landmarks - len(marks)]
         values, vectors = np.linalg.eigh(kernel(marks, marks))
@@ -221,7 +252,7 @@ def fit(texts: list[bytes], toxic: list[int], landmarks: int = LANDMARKS) -> Tox
         root = vectors[:, keep] / np.sqrt(values[keep])
         labels = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
         weight = np.r_[
-            np.array([bad[w] for w in pos]) / sum(bad[w] for w in pos),
+            np.array([bad[w] or 10 for w in pos]) / sum(bad[w] or 10 for w in pos),
             np.sqrt([good[w] for w in neg]) / sum(good[w] ** 0.5 for w in neg),
         ] * SLACK
         w = _svm(kernel(pos + neg, marks) @ root, labels, weight)
