@@ -10,13 +10,14 @@ expression, so scoring is a projection in generated code.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase, digits
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 TREES, DEPTH, RATE, RIDGE = 12, 3, 0.4, 1.0
 BINS = 16
@@ -167,8 +168,6 @@ def train(labelled: DataFrame) -> UrlModel:
         sums = rows.groupBy(col.alias("key")).agg(F.count("*").alias("n"), F.sum("y").alias("s"))
         rates[name] = settle(sums.select("key", ((F.col("s") + PRIOR * base) / (F.col("n") + PRIOR)).alias("rate")))
     model = UrlModel(rates, base, {}, [], 0.0)
-    import math
-
     model.start = math.log(base / (1 - base))
     if not n or s in (0.0, float(n)):
         return model
@@ -177,9 +176,16 @@ def train(labelled: DataFrame) -> UrlModel:
     cuts = seen.agg(*[F.percentile_approx(f, steps, 2000).alias(f) for f in FEATURES]).first()
     model.edges = {f: sorted(set(cuts[f])) for f in FEATURES}
     binned = [sum((F.when(F.col(f) > e, 1).otherwise(0) for e in model.edges[f]), F.lit(0)).alias(f) for f in FEATURES]
-    table = settle(seen.select(*binned, "y").groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("y").alias("s")))
-    for _ in range(TREES):
-        model.trees.append(_grow(table, model))
+    table = seen.select(*binned, "y").groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+    # The margin so far is a column, written with every tree: expressions stay short, and a lost executor costs one tree.
+    table = settle(table.withColumn("margin", F.lit(model.start)))
+    for i in range(TREES):
+        tree = _grow(table, model)
+        model.trees.append(tree)
+        if i < TREES - 1:
+            new = settle(table.withColumn("margin", F.col("margin") + _in_bins(tree, model.edges)))
+            discard(table)
+            table = new
     return model
 
 
@@ -191,11 +197,8 @@ def _in_bins(tree, edges) -> Column:
 
 
 def _grow(table: DataFrame, model: UrlModel):
-    """One tree, a level at a time; nodes are numbered 1, then 2k and 2k + 1 below k."""
-    margin = F.lit(model.start)
-    for tree in model.trees:
-        margin = margin + _in_bins(tree, model.edges)
-    p = 1 / (1 + F.exp(-margin))
+    """One tree for ``table`` (bins, n, s, margin), a level at a time; nodes are numbered 1, then 2k and 2k + 1 below k."""
+    p = 1 / (1 + F.exp(-F.col("margin")))
     node = F.lit(1)
     rows = table.withColumns({"g": F.col("s") - F.col("n") * p, "h": F.col("n") * p * (1 - p)})
     splits: dict[int, tuple] = {}
