@@ -150,3 +150,23 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out" / "nodes")).count() == 5
     assert spark.read.parquet(str(tmp_path / "out" / "edges")).count() == 5
+
+
+def test_cli(spark, tmp_path, capsys):
+    from tessera import cli
+
+    for name, text in (("sys/S.1.txt", "police kill the gunman"), ("mod/M.A.1.txt", "police killed the gunman"), ("mod/M.B.1.txt", "police kill the gunman")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    pattern = ["--system-pattern", r"S\.(\d+)\.txt", "--model-pattern", r"M\.[A-D]\.#ID#\.txt"]
+    cli.main(["evaluate", str(tmp_path / "sys"), str(tmp_path / "mod"), *pattern])
+    assert "rouge_1      R 87.500 P 87.500 F 87.500" in capsys.readouterr().out
+    cli.main(["to-spl", str(tmp_path / "sys"), str(tmp_path / "spl")])
+    cli.main(["config", str(tmp_path / "sys"), str(tmp_path / "mod"), str(tmp_path / "xml"), *pattern])
+    assert "<EVAL ID=" in "".join(p.read_text() for p in (tmp_path / "xml").glob("part*"))
+
+
+def test_write_summaries(spark, tmp_path):
+    rows = spark.createDataFrame([("d1", "system", "a b"), ("d1", "oracle", "a")], "doc string, kind string, summary string")
+    texts.write_summaries(rows, str(tmp_path / "s"))
+    assert [p.read_text() for p in (tmp_path / "s" / "doc=d1" / "kind=system").glob("part*")] == ["a b\n"]
