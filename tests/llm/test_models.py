@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, mixlm, toxicity
-from tessera.llm.common import WordTable, portions
+from tessera.llm.common import portions
 
 EN = ["the cat sat on the mat and the dog ran over the hill", "there is a house where the river bends"]
 DE = ["der hund lief über die straße und die katze schlief", "ein haus steht dort wo der fluss sich biegt"]
@@ -167,16 +167,19 @@ def test_scores(spark):
 
 
 def test_mixing_is_a_probability():
-    """Over all texts of one word of a closed code, probabilities sum to at most one."""
+    """Over all texts of up to one word of a closed code, probabilities sum to at most one."""
     words = [b"a", b"b", b"c", b"d"]
     vocabulary = mixlm.Vocabulary([mixlm.END, *words], np.array([40, 30, 20, 15, 10]), 115, 5)
-    table = WordTable(vocabulary.describe)
-    logits = np.random.default_rng(0).normal(size=(mixlm.TABLES, mixlm.SLOTS)).astype(np.float32)
-    total = 0.0
-    for w in words:
-        total += 2 ** mixlm.mix(mixlm.Bits(vocabulary, table, [w]), logits, mixlm.start_weights())[0][0]
-    total += 2 ** mixlm.mix(mixlm.Bits(vocabulary, table, [b""]), logits, mixlm.start_weights())[0][0]
-    assert 0 < total <= 1
+    rng = np.random.default_rng(0)
+    logits = rng.normal(size=(mixlm.TABLES, mixlm.SLOTS)).astype(np.float32)
+    spelling = rng.normal(size=(mixlm.ORDERS, mixlm.SLOTS)).astype(np.float16)
+    model = mixlm.MixModel(vocabulary, spelling, np.full((mixlm.DEPTHS, mixlm.ORDERS), 0.5), logits, mixlm.start_weights())
+    worker = mixlm.Worker(vocabulary, model)
+    texts = [b"", *words, *[bytes([c]) for c in range(97, 123) if bytes([c]) not in words], b"zz", b"zq"]
+    total = 2 ** mixlm.mix(mixlm.Bits(worker, texts), vocabulary, logits, model.start)[0]
+    assert (total > 0).all() and total.sum() <= 1
+    alone = [2 ** mixlm.mix(mixlm.Bits(worker, [t]), vocabulary, logits, model.start)[0][0] for t in texts]
+    assert total == pytest.approx(alone)
 
 
 def test_portions():
