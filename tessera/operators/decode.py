@@ -1,5 +1,9 @@
 """The best forest of a document's graph: exact branch and bound, one document per group.
 
+A forest of free size is bounded by the best spanning arborescence (Edmonds) in
+which a node may also be left out while others hang below it; one of fixed size by
+the open nodes' best possible gains.
+
 Feasible are non-empty forests of directed trees whose roots are root concepts:
 every chosen node is a root of its tree or has exactly one chosen edge into it.
 The objective is the gain of the chosen nodes and edges over the empty choice.
@@ -7,6 +11,7 @@ The objective is the gain of the chosen nodes and edges over the empty choice.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -31,9 +36,9 @@ class Solution:
 
 
 def solve(gains: dict[int, float], roots: set[int], edges: dict[tuple[int, int], float], n_nodes: int | None = None, n_edges: int | None = None, limit: int = 200_000) -> Solution:
-    """Best forest; ``n_nodes`` or ``n_edges`` fixes its size (0 or None: free).
+    """Best forest; ``n_nodes`` or ``n_edges`` fixes its size (0 or None: free, see ``solve_free``).
 
-    Depth-first over the nodes, each left out, made a root or hung below a parent
+    Of a fixed size: depth-first over the nodes, each left out, made a root or hung below a parent
     that is chosen or still open; the bound adds each open node's best possible
     gain, or the best of as many as may still be chosen.  After ``limit`` steps the
     best forest so far is returned, marked as not optimal.
@@ -44,6 +49,8 @@ def solve(gains: dict[int, float], roots: set[int], edges: dict[tuple[int, int],
             into[b].append((w, a))
     for v in into:
         into[v].sort(key=lambda x: (-x[0], x[1]))
+    if not n_nodes and not n_edges:
+        return solve_free(gains, roots, into, limit)
     top = {v: gains[v] + max([w for w, _ in into[v][:1]] + ([0.0] if v in roots else []), default=float("-inf")) for v in gains}
     order = sorted((v for v in gains if top[v] > float("-inf")), key=lambda v: (-top[v], v))
     wanted_nodes, wanted_edges = n_nodes or None, n_edges or None
@@ -103,25 +110,191 @@ def solve(gains: dict[int, float], roots: set[int], edges: dict[tuple[int, int],
     walk(0, 0.0, 0)
     if steps > limit:
         best.optimal = False
-        if not best.found and not wanted_nodes and not wanted_edges:
-            best = greedy(gains, roots, into)
     return best
 
 
-def greedy(gains: dict[int, float], roots: set[int], into: dict[int, list[tuple[float, int]]]) -> Solution:
-    """A root, then nodes for as long as hanging one below the forest gains."""
-    if not roots & gains.keys():
-        return Solution(optimal=False)
-    chosen: dict[int, int | None] = {max(sorted(roots & gains.keys()), key=lambda v: gains[v]): None}
-    value = gains[next(iter(chosen))]
-    while True:
-        ways = [(gains[v] + w, v, p) for v in gains if v not in chosen for w, p in into[v] if p in chosen]
-        ways += [(gains[v], v, None) for v in roots & gains.keys() if v not in chosen]
-        gain, v, p = max(ways, key=lambda x: (x[0], -x[1]), default=(0.0, -1, None))
-        if gain <= 0:
-            return Solution(sorted(chosen), sorted((p, v) for v, p in chosen.items() if p is not None), value, False)
-        chosen[v] = p
-        value += gain
+class _Groups:
+    """Union-find that can be taken back."""
+
+    def __init__(self, n: int):
+        self.up, self.log = [-1] * n, []
+
+    def find(self, x: int) -> int:
+        while self.up[x] >= 0:
+            x = self.up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        if self.up[a] > self.up[b]:
+            a, b = b, a
+        self.log.append((a, self.up[a], b, self.up[b]))
+        self.up[a] += self.up[b]
+        self.up[b] = a
+        return True
+
+    def back(self, size: int) -> None:
+        while len(self.log) > size:
+            a, x, b, y = self.log.pop()
+            self.up[a], self.up[b] = x, y
+
+
+def arborescence(arcs: list[list[tuple[float, int, int, int]]]) -> list[int]:
+    """For each node its way in, of the cheapest spanning arborescence from node 0.
+
+    ``arcs[v]``: (cost, rank, from, v), the rank unique among the node's arcs and
+    returned for it; every node is reached from 0.
+    """
+    n = len(arcs)
+    heaps, shift = [list(a) for a in arcs], [0.0] * n
+    for h in heaps:
+        heapq.heapify(h)
+    groups, seen = _Groups(n), [-1] * n
+    seen[0] = 0
+    into: list = [None] * n
+    cycles = []
+    for s in range(1, n):
+        u, path, ways = groups.find(s), [], []
+        while seen[u] < 0:
+            way = heapq.heappop(heaps[u])
+            shift[u] = -way[0]
+            path.append(u), ways.append(way)
+            seen[u] = s
+            u = groups.find(way[2])
+            if seen[u] == s:
+                merged, add, time, end = [], 0.0, len(groups.log), len(path)
+                while True:
+                    w = path.pop()
+                    small, low = heaps[w], shift[w]
+                    if len(small) > len(merged):
+                        merged, add, small, low = small, low, merged, add
+                    for c, *rest in small:
+                        heapq.heappush(merged, (c + low - add, *rest))
+                    if not groups.join(u, w):
+                        break
+                u = groups.find(u)
+                heaps[u], shift[u], seen[u] = merged, add, -1
+                # Costs as they are now, so the next pop compares and shifts alike.
+                if add:
+                    heaps[u] = [(c + add, *rest) for c, *rest in merged]
+                    heapq.heapify(heaps[u])
+                    shift[u] = 0.0
+                cycles.append((u, time, ways[len(path) : end]))
+                del ways[len(path) :]
+        for way in ways:
+            into[groups.find(way[3])] = way
+    for u, time, ways in reversed(cycles):
+        own = into[u]
+        groups.back(time)
+        for way in ways:
+            into[groups.find(way[3])] = way
+        into[groups.find(own[3])] = own
+    return [way and way[1] for way in into]
+
+
+def solve_free(gains: dict[int, float], roots: set[int], into: dict[int, list[tuple[float, int]]], limit: int) -> Solution:
+    """Best forest of any size, to within 1e-11 a node.
+
+    A relaxation counts as many steps as it has nodes.  If it leaves out a node that
+    others hang below, that node is taken in or out for good and both are tried.
+    """
+    below: dict[int, list[int]] = {v: [] for v in gains}
+    weight = {}
+    for v, ways in into.items():
+        for w, p in ways:
+            below[p].append(v)
+            weight[p, v] = w
+    roots = {v for v in roots if v in gains}
+    if not roots:
+        return Solution()
+    first = max(sorted(roots), key=lambda v: gains[v])
+    best = Solution([first], [], gains[first])
+
+    def reached(out: frozenset) -> set[int]:
+        found = set(roots - out)
+        todo = list(found)
+        while todo:
+            for v in below[todo.pop()]:
+                if v not in found and v not in out:
+                    found.add(v)
+                    todo.append(v)
+        return found
+
+    def relaxed(alive: set[int], forced: frozenset) -> dict[int, int | None]:
+        """Parents of the nodes that aren't left out; the roots' is None."""
+        names = sorted(alive)
+        number = {v: i for i, v in enumerate(names, 1)}
+        arcs: list[list[tuple[float, int, int, int]]] = [[]]
+        for i, v in enumerate(names, 1):
+            own = [(-gains[v] - w, number[p], number[p], i) for w, p in into[v] if p in number]
+            if v in roots:
+                own.append((-gains[v], 0, 0, i))
+            if v not in forced:
+                own.append((1e-11, len(names) + 1, 0, i))
+            arcs.append(own)
+        ways = arborescence(arcs)
+        return {v: names[ways[i] - 1] if ways[i] else None for i, v in enumerate(names, 1) if ways[i] <= len(names)}
+
+    def worth(parents: dict[int, int | None]) -> float:
+        return sum(gains[v] + (0.0 if p is None else weight[p, v]) for v, p in parents.items())
+
+    def keep(parents: dict[int, int | None]) -> None:
+        nonlocal best
+        value = worth(parents)
+        if parents and value > best.objective + EPS:
+            best = Solution(sorted(parents), sorted((p, v) for v, p in parents.items() if p is not None), value)
+
+    def hanging(parents: dict[int, int | None]) -> list[int]:
+        return sorted({p for p in parents.values() if p is not None and p not in parents})
+
+    def grounded(parents: dict[int, int | None]) -> dict[int, int | None]:
+        """Without what hangs below nodes that are left out."""
+        under: dict[int | None, list[int]] = {}
+        for v, p in parents.items():
+            under.setdefault(p, []).append(v)
+        todo = list(under.get(None, ()))
+        kept = set(todo)
+        while todo:
+            for v in under.get(todo.pop(), ()):
+                kept.add(v)
+                todo.append(v)
+        return {v: parents[v] for v in parents if v in kept}
+
+    # A first forest: all that is hung upon is taken in.
+    alive, forced, steps = reached(frozenset()), frozenset(), 0
+    while steps <= limit:
+        steps += len(alive)
+        parents = relaxed(alive, forced)
+        keep(grounded(parents))
+        lost = hanging(parents)
+        if not lost:
+            break
+        forced |= frozenset(lost)
+    todo = [(frozenset(), frozenset())]
+    while todo:
+        forced, out = todo.pop()
+        alive = reached(out)
+        if not forced <= alive:
+            continue
+        steps += len(alive)
+        if steps > limit:
+            best.optimal = False
+            break
+        parents = relaxed(alive, forced)
+        if worth(parents) <= best.objective + 1e-11 * len(alive):
+            continue
+        if not parents:
+            # The empty choice is no forest: one of the roots must be in.
+            todo += [(frozenset([v]), out) for v in sorted(roots & alive, key=lambda v: (gains[v], -v))]
+            continue
+        lost = hanging(parents)
+        keep(grounded(parents))
+        if lost:
+            v = max(lost, key=lambda p: (sum(q == p for q in parents.values()), -p))
+            todo += [(forced, out | {v}), (forced | {v}, out)]
+    return best
 
 
 def augmented(gain, selected, cost):

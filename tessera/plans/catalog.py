@@ -644,9 +644,9 @@ def html_anchor_text(spark, sf):
 
 
 def _corpus(spark, sf) -> learn.Corpus:
-    """Graphs of the documents' second sentences, labelled by their first ones."""
+    """Graphs of the documents' bodies, all sentences merged, labelled by their first ones."""
     g = Lexical(spark, sf)
-    body_nodes, body_edges = g.nodes.where("line_num = 1"), g.edges.where("line_num = 1")
+    body_nodes, body_edges = g.body_nodes, g.body_edges
     nodes, edges, gold, _ = docgraph.instance(body_nodes, body_edges, g.summary_nodes, g.summary_edges)
     ids = nodes.select("doc", "concept", "node_id")
     stats = features.node_stats(body_nodes)
@@ -662,7 +662,7 @@ def _corpus(spark, sf) -> learn.Corpus:
 def ilp_decode(spark, sf):
     c = _corpus(spark, sf)
     nodes, edges = learn.gains(c, {"1 n bias": 0.3, "1 n freq 2": 0.5, "1 e bias": -0.2, "1 e rel fst even": 0.4})
-    out = decode.decode(nodes, edges, c.gold, "nolen", limit=20_000)
+    out = decode.decode(nodes, edges, c.gold, "nolen")
     return out.select("doc", "status", rounded("objective", "objective"), F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"))
 
 
