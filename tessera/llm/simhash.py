@@ -283,6 +283,8 @@ def simhash_components(docs: DataFrame, k: int = 3, max_bits: int = 3) -> DataFr
 BANDS, BAND_ROWS = 20, 5
 #: Ids that are sent to all tasks at most; more are joined by a shuffle.
 SENT_IDS = 2_000_000
+#: Hubs of a bucket in the first round that goes on within it, about, and how many times as many in each later one.
+HUBS, MORE_HUBS = 8, 16
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -371,6 +373,39 @@ def sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
 
 
+def _rounds(members: DataFrame, links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``links`` with those that join the rest of each bucket of ``members(id, bucket, n)``.
+
+    A round takes hubs in the buckets whose members aren't one component yet and
+    compares them with all members of other components; hubs multiply from round to
+    round until every member was one.  So each pair that shares a bucket is compared,
+    or joined without.
+    """
+    from .common import discard, settle
+
+    place = F.pmod(F.xxhash64("id", F.lit("hub")), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
+    done, hubs = 0, HUBS
+    while True:
+        labels = connected_components(links)
+        now = settle(
+            members.join(labels.withColumnRenamed("node", "id"), "id", "left")
+            .select("id", "bucket", F.coalesce("component", "id").alias("of"), place.alias("place"), "n")
+        )
+        parted = now.groupBy("bucket").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.max("n").alias("most")).where((F.col("x") != F.col("y")) & (F.col("most") > done))
+        parted = settle(parted.select("bucket", "most"))
+        most = parted.agg(F.max("most")).first()[0]
+        if most is None:
+            discard(now, parted)
+            return links
+        now_open = now.join(parted.select("bucket"), "bucket")
+        ends = now_open.where((F.col("place") >= done) & (F.col("place") < hubs)).select("bucket", F.col("id").alias("hub"), F.col("of").alias("of_hub"))
+        pairs = now_open.join(ends, "bucket").where(F.col("of") != F.col("of_hub"))
+        pairs = settle(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+        links = settle(links.unionByName(_similar(pairs, sets, least)))
+        discard(now, parted, pairs)
+        done, hubs = hubs, hubs * MORE_HUBS
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
     """``(doc_id, component_id)`` of the documents whose near-duplicate has a smaller doc_id, by shingles of ``k`` words.
 
@@ -380,8 +415,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bi
     these reach few pairs of a similarity near 0.8 (their fingerprints differ in
     about ten bits), pairs that share a band of min-hashes: 20 bands of 5 miss a
     pair of similarity 0.8 once in 3000 times.  Of the members of a band each is
-    compared with the least one only, first with the least over all its bands,
-    and then with the others where that hasn't joined them.
+    compared with the least one, first with the least over all its bands, and then
+    with the others where that hasn't joined them.  Where a band's members, or those
+    whose fingerprints link, are still apart, rounds with more hubs go on until each
+    pair was compared or is joined (``_rounds``).
 
     A component is named by its smallest doc_id, which isn't listed itself; nor is
     a text without a word, or a null doc_id.  Rows of one doc_id count as one
@@ -396,7 +433,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bi
     # Equal fingerprints, then fingerprints that link.
     firsts = classes.groupBy("fp").agg(F.min("id").alias("hub"))
     equal = classes.join(firsts, "fp").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    links = fingerprint_links(firsts.select("fp"), max_bits)
+    links = settle(fingerprint_links(firsts.select("fp"), max_bits))
+    linked = connected_components(links).withColumnRenamed("node", "fp")
     near = links.join(firsts.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(
         firsts.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b"
     ).select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -405,6 +443,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bi
     keys = classes.select("id", "bands", place).select("id", "band", F.substring("bands", F.col("band") * 8 + 1, F.lit(8)).alias("key"))
     hubs = keys.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
     banded = keys.join(hubs.drop("n"), ["band", "key"]).select(F.col("id").alias("a"), F.col("hub").alias("b"))
+    kin = classes.select("id", "fp").join(linked, "fp", "left").select("id", F.xxhash64(F.coalesce("component", "fp")).alias("bucket"))
+    members = kin.unionByName(keys.select("id", F.xxhash64("band", "key").alias("bucket")))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    members = settle(members.join(shared, "bucket").select("id", "bucket", "n"))
     pairs = settle(equal.unionByName(near).unionByName(banded).where(F.col("a") != F.col("b")).distinct())
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     prepare(docs.sparkSession)
@@ -417,12 +459,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bi
         pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
         .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
     )
-    more = _similar(apart, sets, similarity)
-    labels = connected_components(first.unionByName(more))
+    more = settle(first.unionByName(_similar(apart, sets, similarity)))
+    labels = connected_components(_rounds(members, more, sets, similarity))
     of_class = classes.join(labels.withColumnRenamed("node", "id"), "id", "left")
     out = profiles.join(of_class.select("class", F.coalesce("component", "id").alias("component_id")), "class")
     listed = settle(out.select("doc_id", "component_id").where(F.col("doc_id") != F.col("component_id")))
-    discard(profiles, classes, pairs, sets, first)
+    discard(profiles, classes, links, members, pairs, sets, first)
     return listed
 
 
