@@ -28,8 +28,9 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixlm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, counts = mixlm.train(docs, usable=remainder("doc_id", 5) != 1)
-    found = mixlm.scores(docs, model, counts)
+    usable = remainder("doc_id", 5) != 1
+    model, counts = mixlm.train(docs, usable=usable)
+    found = mixlm.scores(docs, model, counts, trained=usable)
     return found.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), *found.columns[1:])
 
 
