@@ -111,42 +111,51 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordTable:
     """Numbers of words, computed once per distinct word.
 
     ``compute`` maps a list of new words to an array with a row for each.  The
-    table is emptied when it holds over ``cap`` words, which bounds memory and
-    changes no result.
+    table is emptied before a call that finds over ``cap`` words in it, which bounds
+    memory and changes no result.
     """
 
     def __init__(self, compute: Callable[[list], np.ndarray], cap: int = 300_000):
         self.compute, self.cap = compute, cap
-        self.ids: dict = {}
+        self.ids = _Numbers()
         self.rows: np.ndarray | None = None
-        self.used = 0
 
     def lookup(self, words: Sequence) -> np.ndarray:
         """Row numbers in ``rows`` of ``words``, in order; valid until the next call."""
-        ids = self.ids
-        new = [w for w in dict.fromkeys(words) if w not in ids]
-        if new and len(ids) + len(new) > self.cap and ids:
-            ids.clear()
-            self.used = 0
-            new = list(dict.fromkeys(words))
+        if len(self.ids) > self.cap:
+            self.ids = _Numbers()
+        used = len(self.ids)
+        found = np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))
+        new, self.ids.new = self.ids.new, []
         if new:
             rows = self.compute(new)
-            need = self.used + len(new)
+            need = used + len(new)
             if self.rows is None or need > len(self.rows):
-                grown = np.zeros((max(need, 4096, int(1.6 * self.used)), *rows.shape[1:]), dtype=rows.dtype)
+                grown = np.zeros((max(need, 4096, int(1.6 * used)), *rows.shape[1:]), dtype=rows.dtype)
                 if self.rows is not None:
-                    grown[: self.used] = self.rows[: self.used]
+                    grown[:used] = self.rows[:used]
                 self.rows = grown
-            self.rows[self.used : need] = rows
-            ids.update(zip(new, range(self.used, need)))
-            self.used = need
+            self.rows[used:need] = rows
         elif self.rows is None:
             self.rows = self.compute([])
-        return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
+        return found
 
 
 def packed_words(words: list[bytes], lead: bytes, tail: bytes) -> tuple[np.ndarray, np.ndarray]:
