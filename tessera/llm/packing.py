@@ -2,8 +2,9 @@
 
 Every document is tokenised once; its hashed bag-of-tokens vector is projected to
 ``DIMS`` dimensions, and the place of that point on a Hilbert curve is its key.
-Rows are range-sorted by key, so that neighbours in a partition are alike, and a
-partition's documents are laid one after the other and cut every 2048 tokens.
+Rows are parted into ranges of the key of about equal bytes and sorted within, so that
+neighbours are alike, and a range's documents are laid one after the other and cut
+every 2048 tokens.
 What is left at a partition's end is cut at powers of two (1024 + 128 + ...),
 which need no padding.  So no sequence has any, and no row goes to one task: each
 range is packed on its own.
@@ -26,6 +27,8 @@ SEQUENCE = 2048
 DIMS, BITS = 6, 10
 #: Bytes of tokens that a packing task gets, about.
 PARTITION_BYTES = 16 << 20
+#: Stretches of the curve whose bytes are summed: 2 to this power.
+CELL_BITS = 16
 
 
 #: Python's split() also parts at these four; the tokenizer doesn't.
@@ -43,22 +46,24 @@ class WordTokenizer:
     """Token ids of whole texts, computed once per distinct word and worker.
 
     Right for tokenizers whose pre-tokenizer never joins across white space, and
-    parts a run of letters from a mark that ends the word; ``exact`` compares
-    with the tokenizer itself on whole texts.
+    parts a run of ASCII letters from a mark that ends the word.  Texts that hold the
+    string of a special token go to the tokenizer as they are.  ``exact`` is the
+    tokenizer itself, as its file says.
     """
 
     _workers: dict[str, "WordTokenizer"] = {}
 
-    def __init__(self, path: str, cap: int = 500_000):
+    def __init__(self, path: str, cap: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cap = cap
         self.known: dict[str, bytes] = {}
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)) if special else None
         ends = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         self.closing = np.array([t.endswith("</w>") for t in ends])
 
@@ -72,50 +77,59 @@ class WordTokenizer:
     def exact(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
+    def _encode(self, words: list[str]) -> None:
+        known = self.known
         # Runs of letters give one closing token each, so many of them are encoded as one text.
-        plain = [w for w in words if w.isascii() and w.isalpha()]
-        for start in range(0, len(plain), 512):
-            part = plain[start : start + 512]
+        letters = [w for w in words if w.isalpha()]
+        alone = [w for w in words if not w.isalpha()]
+        for start in range(0, len(letters), 512):
+            part = letters[start : start + 512]
             ids = np.array(self.exact([" ".join(part)])[0], dtype=np.uint16)
             cuts = np.flatnonzero(self.closing[ids]) + 1
             if len(cuts) != len(part):
-                for w in part:
-                    self.known[w] = np.array(self.exact([w])[0], dtype=np.uint16).tobytes()
+                alone += part
                 continue
             flat, at = ids.tobytes(), 0
             for w, cut in zip(part, (2 * cuts).tolist()):
-                self.known[w] = flat[at:cut]
+                known[w] = flat[at:cut]
                 at = cut
-        rest = [w for w in words if not (w.isascii() and w.isalpha())]
-        for start in range(0, len(rest), 512):
-            part = rest[start : start + 512]
+        for start in range(0, len(alone), 512):
+            part = alone[start : start + 512]
             for w, ids in zip(part, self.exact(part)):
-                self.known[w] = np.array(ids, dtype=np.uint16).tobytes()
+                known[w] = np.array(ids, dtype=np.uint16).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        """Make ``words`` known: their lower-case heads and marks first, where they have such."""
+        known, made, need = self.known, [], {}
+        for w in words:
+            head, mark = (w[:-1], w[-1]) if w[-1] in ".,;:!?" else (w, "")
+            if head.isascii() and head.isalpha():
+                head = head.lower()
+                made.append((w, head, mark))
+                need[head] = None
+                if mark:
+                    need[mark] = None
+            else:
+                need[w] = None
+        self._encode([w for w in need if w not in known])
+        for w, head, mark in made:
+            known[w] = known[head] + known[mark] if mark else known[head]
 
     def __call__(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 16-bit numbers."""
-        parts: list[str] = []
-        for w in _SPACES.split(text) if _SEPARATORS.search(text) else text.split():
-            if not w:
-                continue
-            if w.isalpha():
-                parts.append(w.lower() if w.isascii() else w)
-            elif w[-1] in ".,;:!?" and (head := w[:-1]).isalpha():
-                parts.append(head.lower() if head.isascii() else head)
-                parts.append(w[-1])
-            else:
-                parts.append(w)
+        if self.special is not None and self.special.search(text):
+            return np.array(self.exact([text])[0], dtype="<u2").tobytes()
+        words = [w for w in _SPACES.split(text) if w] if _SEPARATORS.search(text) else text.split()
         known = self.known
         try:
-            return b"".join([known[w] for w in parts])
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
-            new = [w for w in dict.fromkeys(parts) if w not in known]
+            new = [w for w in dict.fromkeys(words) if w not in known]
             if len(known) + len(new) > self.cap:
                 known.clear()
-                new = list(dict.fromkeys(parts))
+                new = list(dict.fromkeys(words))
             self._learn(new)
-            return b"".join([known[w] for w in parts])
+            return b"".join(map(known.__getitem__, words))
 
 
 def projection(vocabulary: int = 1 << 16, dims: int = DIMS) -> np.ndarray:
@@ -183,6 +197,31 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, doc_id long, ids binary")
 
 
+def ranges(tokens: DataFrame, goal: int = PARTITION_BYTES) -> tuple[DataFrame, int]:
+    """``tokens(key, doc_id, ids)`` with the number ``part`` of their range, and how many ranges there are.
+
+    Ranges are made of whole cells of the curve, 2 ** CELL_BITS at most, until they
+    hold ``goal`` bytes.  A cell of more is dealt over ranges of its own by a hash of
+    the document, so neither equal texts nor long ones fill a task.
+    """
+    spark = tokens.sparkSession
+    cell = F.shiftright("key", DIMS * BITS - CELL_BITS).cast("int")
+    held = sorted(map(tuple, tokens.groupBy(cell.alias("cell")).agg(F.sum(F.length("ids") + 64).alias("n")).collect()))
+    found, part, fill = [], 0, 0
+    for c, n in held:
+        if fill and fill + n > goal:
+            part, fill = part + 1, 0
+        wide = max(1, -(-n // goal))
+        found.append((c, part, wide))
+        if wide > 1:
+            part, fill = part + wide, 0
+        else:
+            fill += n
+    number = F.col("first") + F.pmod(F.xxhash64("doc_id", "key", "ids"), F.col("wide")).cast("int")
+    bounds = F.broadcast(spark.createDataFrame(found, "cell int, first int, wide int"))
+    return tokens.withColumn("cell", cell).join(bounds, "cell").select("key", "doc_id", "ids", number.alias("part")), part + 1
+
+
 def remainders(n: int) -> list[int]:
     """The powers of two that sum to ``n``, greatest first."""
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -210,8 +249,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, keep_ids: bo
     spark = docs.sparkSession
     path = path or default_tokenizer()
     tokens = settle(tokenised(docs, path))
-    size = tokens.agg(F.sum(F.length("ids") + 64)).first()[0] or 0
-    parts = max(1, -(-int(size) // PARTITION_BYTES))
+    dealt, parts = ranges(tokens)
     schema = PIECES + (", ids binary" if keep_ids else "")
     closing = np.array([end_id], dtype="<u2").tobytes()
 
@@ -264,4 +302,5 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 1, keep_ids: bo
         yield table(out)
 
     prepare(spark)
-    return tokens.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id").mapInArrow(run, schema)
+    rows = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("key", "doc_id").select("key", "doc_id", "ids")
+    return rows.mapInArrow(run, schema)

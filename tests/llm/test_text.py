@@ -120,10 +120,39 @@ def test_pages(spark):
     assert found[1]["n_chars"] == 2 and htmltext.main_text(pages).count() == 7 and htmltext.main_text(pages.where("false")).count() == 0
 
 
+def plain_ids(texts):
+    """The file's tokenizer with nothing set."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_tokenizer():
     t = packing.WordTokenizer(packing.default_tokenizer(), cap=40)
-    texts = ["Hello, world! it's NOT don'T 1234 a1.b2", "naïve ΟΔΟΣ x<|endoftext|>y e\u0301 \x1c a\x85b ﬁ İstanbul", "", "  ", "日本語。 😀", " ".join(f"w{i}ord," for i in range(99))]
-    assert [np.frombuffer(t(x), dtype="<u2").tolist() for x in texts] == t.exact(texts)
+    texts = [
+        "Hello, world! it's NOT don'T 1234 a1.b2", "naïve ΟΔΟΣ x<|endoftext|>y e\u0301 \x1c a\x85b ﬁ İstanbul", "", "  ", "日本語。 😀",
+        " ".join(f"w{i}ord," for i in range(99)), "<|startoftext|> a <|ENDOFTEXT|> <|endoftext|>", "pİ. \u0958! ǅ, ﬁ? Straße; ß. é.. a.. A! .", "\u0958 \u0344a",
+    ]
+    assert [np.frombuffer(t(x), dtype="<u2").tolist() for x in texts] == plain_ids(texts)
+
+
+def test_tokenizer_on_mixed_texts():
+    rng = random.Random(4)
+    bits = list("abZ 'st.,;:!?İıſßﬁ\u0301\u0307\u0958\u0344\u1e9eΣ9१日\u00a0\u2028\x1c\x1f\x85\u200b\u0e33<|>😀") + ["<|endoftext|>", "it's", " the", "Don't "]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(40))) for _ in range(3000)]
+    t = packing.WordTokenizer(packing.default_tokenizer(), cap=500)
+    assert [np.frombuffer(t(x), dtype="<u2").tolist() for x in texts] == plain_ids(texts)
+
+
+def test_ranges(spark):
+    rows = [(k << 44, i, bytes(n)) for i, (k, n) in enumerate([(1, 500)] * 40 + [(2, 5000)] + [(9, 100)] * 300 + [(5, 0)])]
+    dealt, parts = packing.ranges(spark.createDataFrame(rows, "key long, doc_id long, ids binary"), goal=8000)
+    found = dealt.withColumn("n", F.length("ids") + 64).groupBy("part").agg(F.sum("n").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).collect()
+    assert dealt.count() == len(rows) and max(r["part"] for r in found) < parts and max(r["n"] for r in found) < 2 * 8000
+    assert sum(r["n"] for r in found) == sum(len(x) + 64 for _, _, x in rows)
+    none, parts = packing.ranges(spark.createDataFrame([], "key long, doc_id long, ids binary"))
+    assert none.count() == 0 and parts == 1
 
 
 @pytest.mark.parametrize("dims, bits", [(2, 3), (3, 2)])
@@ -138,7 +167,7 @@ def test_pack(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices(["alpha", "beta", "Gamma!", "x1"], k=rng.choice([0, 3, 50, 900])))) for i in range(60)] + [(500, "long " * 9000), (501, None), (7, "again"), (None, "no id")]
     table = packing.pack(docs(spark, rows), keep_ids=True).toPandas()
-    exact = packing.WordTokenizer(packing.default_tokenizer()).exact([t or "" for _, t in rows])
+    exact = plain_ids([t or "" for _, t in rows])
     for group, part in table.groupby("sequence_id"):
         part = part.sort_values("offset")
         assert part.offset.tolist() == [0, *np.cumsum(part.length)[:-1]]
