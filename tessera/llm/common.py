@@ -111,7 +111,7 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Numbers words in the order in which they are first asked for."""
 
     def __init__(self):
@@ -134,13 +134,13 @@ class WordTable:
 
     def __init__(self, compute: Callable[[list], np.ndarray], cap: int = 300_000):
         self.compute, self.cap = compute, cap
-        self.ids = _Numbers()
+        self.ids = Numbers()
         self.rows: np.ndarray | None = None
 
     def lookup(self, words: Sequence) -> np.ndarray:
         """Row numbers in ``rows`` of ``words``, in order; valid until the next call."""
         if len(self.ids) > self.cap:
-            self.ids = _Numbers()
+            self.ids = Numbers()
         used = len(self.ids)
         found = np.fromiter(map(self.ids.__getitem__, words), dtype=np.int64, count=len(words))
         new, self.ids.new = self.ids.new, []

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import offsets, prepare, settle
+from .common import BATCH_BYTES, Numbers, offsets, portions, prepare, settle
 
 SEQUENCE = 2048
 #: Dimensions of the curve and bits of each.
@@ -42,18 +42,118 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A run of up to 64 letters, in composed form and of a case that depends on no neighbour, and a run of marks (no apostrophe).
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]{1,64})([!-&(-/:-@\\[-`{-~]*)")
+
+
+class Merges:
+    """Byte-pair merges of many words at once, each step for all words of about one length.
+
+    The words are runs of letters, which the tokenizer's file takes as one piece of
+    bytes with a mark at the word's end.  A step merges each word's leftmost pair of
+    the least rank, which is the order of the merges by definition.
+    """
+
+    NONE = np.int32(1 << 30)
+
+    def __init__(self, model: dict):
+        vocab = model["vocab"]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(printable)]
+        letter = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.inner = np.array([vocab[letter[b]] for b in range(256)], dtype=np.uint32)
+        self.last = np.array([vocab[letter[b] + "</w>"] for b in range(256)], dtype=np.uint32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], dtype=np.uint32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.uint32)
+        # A second table holds the pairs whose place in the first one is taken.
+        self.first, rest = self._place(np.arange(len(self.keys)), 0x9E3779B1)
+        self.second, rest = self._place(rest, 0x85EBCA6B)
+        self.rest = {int(self.keys[i]): int(i) for i in rest}
+
+    def _place(self, which: np.ndarray, by: int) -> tuple[np.ndarray, np.ndarray]:
+        at = (self.keys[which] * np.uint32(by)) >> np.uint32(12)
+        table = np.full(1 << 20, -1, dtype=np.int32)
+        table[at[::-1]] = which[::-1]
+        return table, which[table[at] != which]
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the pairs (a, b); NONE where there is no merge."""
+        key = a << np.uint32(16) | b
+        out = np.full(key.shape, self.NONE, dtype=np.int32)
+        for table, by in ((self.first, 0x9E3779B1), (self.second, 0x85EBCA6B)):
+            found = table[(key * np.uint32(by)) >> np.uint32(12)]
+            np.copyto(out, found, where=(found >= 0) & (self.keys[found] == key))
+        if self.rest:
+            for place in np.flatnonzero(np.isin(key, list(self.rest))).tolist():
+                out.flat[place] = self.rest[int(key.flat[place])]
+        return out
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 16-bit numbers."""
+        out: list = [b""] * len(words)
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        order = np.argsort(size, kind="stable")
+        for start in range(0, len(words), 2048):
+            which = order[start : start + 2048]
+            self._merge([words[i] for i in which.tolist()], size[which], which, out)
+        return out
+
+    def _merge(self, words: list[bytes], size: np.ndarray, which: np.ndarray, out: list) -> None:
+        wide = int(size[-1])
+        flat = np.frombuffer(b"".join([w.ljust(wide) for w in words]), dtype=np.uint8).reshape(len(words), wide)
+        ids = self.inner[flat]
+        rows = np.arange(len(words))
+        ids[rows, size - 1] = self.last[flat[rows, size - 1]]
+        place = np.arange(wide)
+        ranks = np.full((len(words), wide), self.NONE, dtype=np.int32)
+        if wide > 1:
+            ranks[:, :-1] = np.where(place[1:] < size[:, None], self.rank(ids[:, :-1], ids[:, 1:]), self.NONE)
+        while len(ids):
+            at = ranks.argmin(axis=1)
+            rows = np.arange(len(ids))
+            best = ranks[rows, at]
+            done = best == self.NONE
+            if done.any():
+                narrow = ids[done].astype("<u2")
+                for i, n, x in zip(which[done].tolist(), size[done].tolist(), narrow):
+                    out[i] = x[:n].tobytes()
+                left = ~done
+                ids, ranks, size, which, at, best = ids[left], ranks[left], size[left], which[left], at[left], best[left]
+                rows = np.arange(len(ids))
+                if not len(ids):
+                    return
+            # Close the gap behind each merged pair, and rank the pairs at its two sides anew.
+            ids[rows, at] = self.made[best]
+            moved = place[None, :-1] + (place[None, :-1] > at[:, None])
+            ids = np.take_along_axis(ids, moved, axis=1)
+            ranks = np.take_along_axis(ranks, moved, axis=1)
+            size = size - 1
+            place = place[:-1]
+            after = np.minimum(at + 1, len(place) - 1)
+            ranks[rows, at] = np.where(at + 1 < size, self.rank(ids[rows, at], ids[rows, after]), self.NONE)
+            before = np.maximum(at - 1, 0)
+            some = at > 0
+            ranks[rows[some], before[some]] = self.rank(ids[rows, before], ids[rows, at])[some]
+            wide = int(size.max())
+            if wide < len(place):
+                ids, ranks, place = ids[:, :wide], ranks[:, :wide], place[:wide]
+
+
 class WordTokenizer:
     """Token ids of whole texts, computed once per distinct word and worker.
 
     Right for tokenizers whose pre-tokenizer never joins across white space, and
-    parts a run of ASCII letters from a mark that ends the word.  Texts that hold the
-    string of a special token go to the tokenizer as they are.  ``exact`` is the
-    tokenizer itself, as its file says.
+    parts a run of letters from the marks that end the word.  Runs of letters are
+    merged many at a time (``Merges``), where the file's model is of that kind; other
+    words, and texts that hold the string of a special token, go to the tokenizer as
+    they are.  ``exact`` is the tokenizer itself, as its file says.
     """
 
     _workers: dict[str, "WordTokenizer"] = {}
 
     def __init__(self, path: str, cap: int = 600_000):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -61,11 +161,17 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cap = cap
-        self.known: dict[str, bytes] = {}
+        self._empty()
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special)) if special else None
-        ends = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
-        self.closing = np.array([t.endswith("</w>") for t in ends])
+        model = json.loads(self.tokenizer.to_str())["model"]
+        own = model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not model.get("dropout") and len(model["vocab"]) <= 1 << 16
+        self.merges = Merges(model) if own else None
+
+    def _empty(self) -> None:
+        self.numbers = Numbers()
+        self.pool, self.used = np.zeros(0, dtype="<u2"), 0
+        self.begins = self.sizes = np.zeros(0, dtype=np.int64)
 
     @classmethod
     def of(cls, path: str) -> "WordTokenizer":
@@ -77,59 +183,56 @@ class WordTokenizer:
     def exact(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, words: list[str]) -> None:
-        known = self.known
-        # Runs of letters give one closing token each, so many of them are encoded as one text.
-        letters = [w for w in words if w.isalpha()]
-        alone = [w for w in words if not w.isalpha()]
-        for start in range(0, len(letters), 512):
-            part = letters[start : start + 512]
-            ids = np.array(self.exact([" ".join(part)])[0], dtype=np.uint16)
-            cuts = np.flatnonzero(self.closing[ids]) + 1
-            if len(cuts) != len(part):
-                alone += part
-                continue
-            flat, at = ids.tobytes(), 0
-            for w, cut in zip(part, (2 * cuts).tolist()):
-                known[w] = flat[at:cut]
-                at = cut
-        for start in range(0, len(alone), 512):
-            part = alone[start : start + 512]
-            for w, ids in zip(part, self.exact(part)):
-                known[w] = np.array(ids, dtype=np.uint16).tobytes()
-
     def _learn(self, words: list[str]) -> None:
-        """Make ``words`` known: their lower-case heads and marks first, where they have such."""
-        known, made, need = self.known, [], {}
+        """Append the ids of ``words`` to the pool, which holds those of all numbered words one after the other."""
+        heads: dict[str, int] = {}
+        others: dict[str, int] = {}
+        plan = []
         for w in words:
-            head, mark = (w[:-1], w[-1]) if w[-1] in ".,;:!?" else (w, "")
-            if head.isascii() and head.isalpha():
-                head = head.lower()
-                made.append((w, head, mark))
-                need[head] = None
-                if mark:
-                    need[mark] = None
+            plain = _PLAIN.fullmatch(w) if self.merges is not None else None
+            if plain:
+                head, mark = plain.groups()
+                plan.append((heads.setdefault(head.lower(), len(heads)), others.setdefault(mark, len(others)) if mark else -1))
             else:
-                need[w] = None
-        self._encode([w for w in need if w not in known])
-        for w, head, mark in made:
-            known[w] = known[head] + known[mark] if mark else known[head]
-
-    def __call__(self, text: str) -> bytes:
-        """The ids of ``text`` as little-endian unsigned 16-bit numbers."""
-        if self.special is not None and self.special.search(text):
-            return np.array(self.exact([text])[0], dtype="<u2").tobytes()
-        words = [w for w in _SPACES.split(text) if w] if _SEPARATORS.search(text) else text.split()
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if len(known) + len(new) > self.cap:
-                known.clear()
-                new = list(dict.fromkeys(words))
+                plan.append((-1, others.setdefault(w, len(others))))
+        merged = self.merges([w.encode() for w in heads]) if heads else []
+        alone: list[bytes] = []
+        rest = list(others)
+        for start in range(0, len(rest), 512):
+            alone += [np.array(ids, dtype="<u2").tobytes() for ids in self.exact(rest[start : start + 512])]
+        made = [(merged[i] if i >= 0 else b"") + (alone[k] if k >= 0 else b"") for i, k in plan]
+        flat = np.frombuffer(b"".join(made), dtype="<u2")
+        sizes = np.array([len(x) // 2 for x in made], dtype=np.int64)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.used], np.zeros(len(flat) + self.used // 2 + 4096, dtype="<u2")))
+        self.pool[self.used : self.used + len(flat)] = flat
+        begins = self.used + np.cumsum(sizes) - sizes
+        self.used += len(flat)
+        self.begins, self.sizes = np.concatenate((self.begins, begins)), np.concatenate((self.sizes, sizes))
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        whole = {i for i, t in enumerate(texts) if self.special is not None and self.special.search(t)}
+        flat: list[str] = []
+        counts = []
+        for i, t in enumerate(texts):
+            words = () if i in whole else [w for w in _SPACES.split(t) if w] if _SEPARATORS.search(t) else t.split()
+            flat += words
+            counts.append(len(words))
+        if len(self.numbers) > self.cap:
+            self._empty()
+        found = np.fromiter(map(self.numbers.__getitem__, flat), dtype=np.int64, count=len(flat))
+        if self.numbers.new:
+            new, self.numbers.new = self.numbers.new, []
             self._learn(new)
-            return b"".join(map(known.__getitem__, words))
+        sizes = self.sizes[found]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begins[found] - ends + sizes, sizes)]
+        cuts = offsets(sizes)[offsets(counts)].tolist()
+        out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i in whole:
+            out[i] = np.array(self.exact([texts[i]])[0], dtype="<u2")
+        return out
 
 
 def projection(vocabulary: int = 1 << 16, dims: int = DIMS) -> np.ndarray:
@@ -187,11 +290,11 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         tokens = WordTokenizer.of(path)
         directions = projection()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = [tokens(t or "") for t in texts]
-            points = np.array([curve_key(np.frombuffer(x, dtype="<u2"), directions) for x in ids]).reshape(-1, DIMS)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids = [x for a, b in portions(texts, BATCH_BYTES // 4) for x in tokens(texts[a:b])]
+            points = np.array([curve_key(x, directions) for x in ids]).reshape(-1, DIMS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hilbert(points)), batch.column(0), pa.array(ids, pa.binary())], names=["key", "doc_id", "ids"]
+                [pa.array(hilbert(points)), batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], names=["key", "doc_id", "ids"]
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "key long, doc_id long, ids binary")
