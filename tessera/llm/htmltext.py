@@ -1,23 +1,29 @@
 """Main text of web pages by composite text density.
 
-A page is parsed into a tree of its block elements; inline elements belong to the
-block around them.  What is no article by its element, role or name (menus,
-footers, sidebars, forms, adverts, notices, comments, scripts) is left out of the
-tree.  Every block then has its characters C, link characters LC, tags T and link
-tags LT, and the composite density of Sun et al. (2011)
+A page is parsed into the tree of its elements.  Elements that hold no text of an
+article whatever stands in them (menus, footers, scripts) are left out.  Every node
+then has its characters C, link characters LC, tags T and link tags LT, and the
+composite density of Sun et al. (2011)
 
     C / T * log(C / LC * T / LT) to the base ln(C / (C - LC) * LC + LCb / Cb * C + e),
 
-where b marks the body and a zero divisor reads as 1.  The block whose children's
+where b marks the body and a zero divisor reads as 1.  The node whose children's
 densities have the greatest sum is the core.  The least density on the path from
-the core to the body is the threshold: blocks beside that path are taken with the
-core if they reach it, and are no list of links.
+the core to the body is the threshold: nodes beside that path are taken with the
+core if they reach it.  The body is the page, or its ``article`` or ``main`` element
+if that has half of the text; there the threshold only drops what consists of links
+for the most part, as an article's short paragraphs are part of it.  The same goes
+for nodes below the core.
+
+Names (class, id) and forms mark what is a comment, an advert or a notice.  A mark
+drops a node, but not one that holds the article: see ``_unmark``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from html import unescape
 from math import e, log
 
@@ -54,154 +60,183 @@ SCOPES = frozenset("table td th caption button object body html".split())
 
 #: Elements, roles and words of class or id that hold no article text.
 NO_TEXT = frozenset(
-    "nav footer aside form script style noscript iframe template button select textarea input svg canvas dialog menu "
+    "nav footer aside script style noscript iframe template button select textarea input svg canvas dialog menu "
     "object embed audio video map head title noembed noframes xmp optgroup option datalist search".split()
 )
-NO_ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar status".split())
-NO_NAME = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline captcha comment "
-    "comments commentlist consent cookie cookies copyright disclaimer discussion disqus donate footer gdpr header login masthead "
-    "menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup promo "
-    "promotion recommended related replies reply respond responses rss share sharing sidebar signup skip social "
-    "sponsor sponsored subscribe subscription tags toolbar toc widget widgets".split()
+NO_ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar status".split())
+#: Names of what is no article even where most of the page stands in it, and names that a wrapper may have, too.
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond responses".split())
+NO_NAME = COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising adsense breadcrumb breadcrumbs captcha consent cookie cookies "
+    "footer gdpr login masthead menu nav navbar navigation pagination pager sidebar toolbar".split()
 )
+WEAK_NAME = frozenset(
+    "banner byline copyright disclaimer donate header modal newsletter notice notices notification overlay popup promo "
+    "promotion recommended related rss share sharing signup skip social sponsor sponsored subscribe subscription "
+    "tags toc widget widgets".split()
+)
+#: A name that begins so tells what stands elsewhere, or doesn't.
+ABOUT = frozenset("no not non has have with without is hide show".split())
+#: How many times the rest of the page a node of a weak name must have to be the article.
+MOST = 3
 
 
-class Block:
-    """A block element: its texts and child blocks in page order, and counts over its whole subtree."""
+class Node:
+    """An element: its texts and child nodes in page order, and counts over its whole subtree."""
 
-    __slots__ = ("tag", "parent", "items", "chars", "link_chars", "tags", "links", "density", "sum")
+    __slots__ = ("tag", "parent", "block", "mark", "items", "chars", "link_chars", "tags", "links", "density", "sum")
 
-    def __init__(self, tag: str, parent: "Block | None"):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: "Node | None", block: bool = True, mark: str = ""):
+        self.tag, self.parent, self.block, self.mark = tag, parent, block, mark
         self.items: list = []
         self.chars = self.link_chars = self.tags = self.links = 0
         self.density = self.sum = 0.0
 
-    def blocks(self) -> list["Block"]:
-        return [x for x in self.items if isinstance(x, Block)]
+    def nodes(self) -> list["Node"]:
+        return [x for x in self.items if isinstance(x, Node)]
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_ATTRIBUTE.finditer(text)))}
 
 
-def _left_out(tag: str, attributes: str, in_article: bool) -> bool:
+def _judge(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
+    """Whether an element is left out for good, and its mark: strong, weak or none."""
     if tag in NO_TEXT or tag == "header" and not in_article:
-        return True
-    if not attributes.strip() or tag in ("html", "body", "main", "article"):
-        return False
+        return True, ""
+    mark = "strong" if tag == "form" else ""
+    if not attributes.strip() or tag in ("html", "body", "main"):
+        return False, mark
     a = _attributes(attributes)
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in NO_ROLE:
-        return True
+        return True, ""
     if "none" in a.get("style", "") and re.search(r"display\s*:\s*none", a["style"]):
-        return True
-    names = _WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}".lower())
-    return any(x in NO_NAME for x in names)
-
-
-def parse(html: str) -> Block:
-    """The tree of a page's blocks, without those that hold no article text."""
-    root = Block("html", None)
-    # Open elements: (tag, block that it is or None if inline, link, left out).
-    stack: list[tuple[str, Block | None, bool, bool]] = []
-    at, out, links, article, pos, n = root, 0, 0, 0, 0, len(html)
-
-    def text(start: int, end: int) -> None:
-        if end > start and not out:
-            piece = html[start:end]
+        return True, ""
+    names: set[str] = set()
+    for token in f"{a.get('class', '')} {a.get('id', '')}".lower().split():
+        words = _WORDS.findall(token)
+        if words and words[0] not in ABOUT:
+            names.update(words)
+    if names & (COMMENTS if tag == "article" else NO_NAME) or a.get("role", "").lower() == "form":
+        return False, "strong"
+    return False, mark or ("weak" if tag != "article" and names & WEAK_NAME else "")
+
+
+class _Parser:
+    """The open elements while a page is read, with the latest place of each kind among them."""
+
+    def __init__(self):
+        self.root = self.at = Node("html", None)
+        self.stack: list[tuple[Node, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.out = self.links = self.articles = 0
+
+    def latest(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def text(self, piece: str) -> None:
+        if piece and not self.out:
             if "&" in piece:
                 piece = unescape(piece)
-            at.items.append(piece)
+            self.at.items.append(piece)
             size = len("".join(piece.split()))
-            at.chars += size
-            if links:
-                at.link_chars += size
-
-    def close(depth: int) -> None:
-        nonlocal at, out, links, article
-        while len(stack) > depth:
-            tag, block, link, left = stack.pop()
-            out -= left
-            links -= link
-            article -= tag in ("article", "main")
-            if block is not None:
-                at = block.parent
-
+            self.at.chars += size
+            if self.links:
+                self.at.link_chars += size
+
+    def close(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            node, left = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.block:
+                self.blocks.pop()
+            self.out -= left
+            self.links -= node.tag == "a"
+            self.articles -= node.tag in ("article", "main")
+            self.at = node.parent
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the latest element of its kind; an inline one doesn't reach out of its block."""
+        place = self.latest((tag,))
+        if place >= 0 and (tag in BLOCKS or place > (self.blocks[-1] if self.blocks else -1)):
+            self.close(place)
+        if tag in BLOCKS and not self.out and self.at.items and isinstance(self.at.items[-1], str):
+            self.at.items.append(None)
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag in BLOCKS and tag not in ("option", "optgroup", "head", "html", "body"):
+            # A paragraph ends where a block begins.
+            if self.blocks and self.stack[self.blocks[-1]][0].tag == "p" and self.latest(SCOPES) < self.blocks[-1]:
+                self.close(self.blocks[-1])
+        if tag in CLOSES:
+            shut, stop = CLOSES[tag]
+            while (place := self.latest(shut)) > self.latest(stop):
+                self.close(place)
+                if tag in ("li", "dt", "dd", "option"):
+                    break
+        if not self.out:
+            self.at.tags += 1
+        if tag in VOID:
+            if not self.out and tag in ("br", "hr", "img", "wbr"):
+                self.at.items.append(None if tag == "hr" else "" if tag == "wbr" else " ")
+            return
+        left, mark = _judge(tag, attributes, self.articles > 0)
+        if tag == "a" and not self.out:
+            self.at.links += 1
+        node = Node(tag, self.at, tag in BLOCKS, mark)
+        if not left and not self.out:
+            self.at.items.append(node)
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if node.block:
+            self.blocks.append(len(self.stack))
+        self.stack.append((node, left))
+        self.at = node
+        self.out += left
+        self.links += tag == "a"
+        self.articles += tag in ("article", "main")
+
+
+def parse(html: str) -> Node:
+    """The tree of a page's elements, without those that hold no article text; work grows with the page's length."""
+    parser, pos, n = _Parser(), 0, len(html)
     while pos < n:
         m = _TAG.search(html, pos)
         if m is None:
-            text(pos, n)
+            parser.text(html[pos:])
             break
-        text(pos, m.start())
+        parser.text(html[pos : m.start()])
         pos = m.end()
         name = m[2] or m[5]
         if name is None:
             continue
         tag, attributes, ends = name.lower(), (m[3] if m[2] else m[6]) or "", bool(m[1] or m[4])
         if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag not in BLOCKS and stack[i][1] is not None:
-                    break  # an inline end tag doesn't reach out of its block
-            if tag in BLOCKS and not out and at.items and isinstance(at.items[-1], str):
-                at.items.append(None)
-            continue
-        if tag in BLOCKS and tag not in ("option", "optgroup", "head", "html", "body"):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES or stack[i][1] is not None and stack[i][0] not in ("p",):
-                    break
-        if tag in CLOSES:
-            shut, stop = CLOSES[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in stop:
-                    break
-                if stack[i][0] in shut:
-                    close(i)
-                    if tag in ("li", "dt", "dd", "option"):
-                        break
-        if not out:
-            at.tags += 1
-        if tag in VOID:
-            if not out and tag in ("br", "hr", "img", "wbr"):
-                at.items.append(None if tag == "hr" else "" if tag == "wbr" else " ")
-            continue
-        if tag in RAW:
+            parser.end(tag)
+        elif tag in RAW:
+            parser.at.tags += not parser.out
             end = re.compile(f"</{re.escape(tag)}[^>]*(?:>|\\Z)", re.I).search(html, pos)
             pos = end.end() if end else n
-            continue
-        left = _left_out(tag, attributes, article > 0)
-        link = tag == "a"
-        if link and not out:
-            at.links += 1
-        block = None
-        if tag in BLOCKS:
-            block = Block(tag, at)
-            if not left and not out:
-                at.items.append(block)
-            at = block
-        stack.append((tag, block, link, left))
-        out += left
-        links += link
-        article += tag in ("article", "main")
-    return root
-
-
-def _measure(root: Block) -> list[Block]:
-    """Fill in subtree counts; the blocks from the leaves up."""
-    order, todo = [], [root]
+        else:
+            parser.start(tag, attributes)
+    return parser.root
+
+
+def _order(top: Node) -> list[Node]:
+    """The nodes of a tree, from the leaves up."""
+    order, todo = [], [top]
     while todo:
         b = todo.pop()
         order.append(b)
-        todo += b.blocks()
-    order.reverse()
+        todo += b.nodes()
+    return order[::-1]
+
+
+def _measure(root: Node) -> list[Node]:
+    """Fill in subtree counts; the nodes from the leaves up."""
+    order = _order(root)
     for b in order:
-        for c in b.blocks():
+        for c in b.nodes():
             b.chars += c.chars
             b.link_chars += c.link_chars
             b.tags += c.tags
@@ -209,7 +244,68 @@ def _measure(root: Block) -> list[Block]:
     return order
 
 
-def density(b: Block, body: Block) -> float:
+def _unmark(root: Node) -> None:
+    """Takes the marked nodes out of the tree, but for those that hold the article.
+
+    A marked node holds it if an ``article`` or ``main`` is in it and none outside of
+    marked nodes; if there is no text outside; or, with a weak name, if it has
+    ``MOST`` times the text outside.  Nodes in one that stays are judged anew.  Counts
+    are still those of each node alone.
+    """
+    whole: dict[int, int] = {}
+    named: dict[int, bool] = {}
+    for b in _order(root):
+        whole[id(b)] = b.chars + sum(whole[id(c)] for c in b.nodes())
+        named[id(b)] = b.mark != "strong" and (b.tag in ("article", "main") or any(named[id(c)] for c in b.nodes()))
+
+    def tops(node: Node) -> list[Node]:
+        found, todo = [], node.nodes()
+        while todo:
+            b = todo.pop()
+            if b.mark:
+                found.append(b)
+            else:
+                todo += b.nodes()
+        return found
+
+    def inner(b: Node) -> bool:
+        return any(named[id(c)] for c in b.nodes())
+
+    marked = tops(root)
+    if not marked:
+        return
+    rest = whole[id(root)] - sum(whole[id(b)] for b in marked)
+    outside, todo = False, root.nodes()
+    while todo and not outside:
+        b = todo.pop()
+        if not b.mark:
+            outside = b.tag in ("article", "main")
+            todo += b.nodes()
+    # Those that hold an article first, then the longest.
+    entry = lambda i, b: (not inner(b), -whole[id(b)], i, b)
+    heap = [entry(i, b) for i, b in enumerate(marked)]
+    heapify(heap)
+    seen, dropped = len(heap), set()
+    while heap:
+        b = heappop(heap)[-1]
+        n = whole[id(b)]
+        if outside or not (inner(b) or n and not rest or b.mark == "weak" and n > MOST * rest):
+            dropped.add(id(b))
+            continue
+        within = tops(b)
+        outside = inner(b) and not any(inner(c) for c in within)
+        rest += n - sum(whole[id(c)] for c in within)
+        for c in within:
+            seen += 1
+            heappush(heap, entry(seen, c))
+    todo = [root]
+    while todo:
+        b = todo.pop()
+        b.items = [x for x in b.items if id(x) not in dropped]
+        todo += b.nodes()
+
+
+def density(b: Node, body: Node) -> float:
     """The composite text density of ``b``."""
     c, lc, t, lt = b.chars, b.link_chars, max(1, b.tags), max(1, b.links)
     if not c:
@@ -219,36 +315,41 @@ def density(b: Block, body: Block) -> float:
     return c / t * log(max(inside, 1.0 + 1e-9)) / log(base) if base > 1.0 + 1e-9 else c / t * log(max(inside, 1.0))
 
 
-def _link_list(b: Block) -> bool:
-    return b.links >= 3 and b.link_chars > 0.6 * b.chars
-
-
-def main_blocks(root: Block) -> list[str]:
-    """Texts of the chosen blocks, in page order."""
-    order = _measure(root)
-    whole = root
-    if not whole.chars:
-        return []
-    named = [b for b in order if b.tag in ("article", "main")]
-    best = max(named, key=lambda b: b.chars, default=None)
-    body = best if best is not None and 2 * best.chars >= whole.chars else whole
-    order = _measured_below(body)
+def choose(root: Node) -> tuple[Node, Node, float]:
+    """The body, the core and the threshold of a tree whose counts are filled in."""
+    order = _order(root)
+    best = max((b for b in order if b.tag in ("article", "main")), key=lambda b: b.chars, default=None)
+    body = best if best is not None and 2 * best.chars >= root.chars else root
+    order = _order(body)
     for b in order:
-        b.density = density(b, whole)
+        b.density = density(b, root)
     core, most = body, -1.0
     for b in order:
-        b.sum = sum(c.density for c in b.blocks())
-        if b.sum > most and b.blocks():
+        b.sum = sum(c.density for c in b.nodes())
+        if b.sum > most and b.nodes():
             core, most = b, b.sum
-    path = [core]
-    while path[-1] is not body:
-        path.append(path[-1].parent)
-    threshold = min(b.density for b in path)
-    # From the core outwards: what stands beside the path is taken if it is as dense as the path.
-    taken = {id(core)}
-    for b in path[1:]:
-        taken.update(id(c) for c in b.blocks() if c.density >= threshold or body is not whole)
-    on_path = {id(b) for b in path[1:]}
+    while core is not body and not core.block:
+        core = core.parent
+    least, b = core.density, core
+    while b is not body:
+        b = b.parent
+        least = min(least, b.density)
+    return body, core, least
+
+
+def main_blocks(root: Node) -> list[str]:
+    """Texts of the chosen blocks, in page order."""
+    _unmark(root)
+    _measure(root)
+    if not root.chars:
+        return []
+    body, core, threshold = choose(root)
+    path, b = {id(core), id(body)}, core
+    while b is not body:
+        b = b.parent
+        path.add(id(b))
+    # Within an article element all is taken that isn't links; elsewhere what is as dense as the path.
+    article = body is not root
     texts: list[str] = []
     run: list[str] = []
 
@@ -266,27 +367,23 @@ def main_blocks(root: Block) -> list[str]:
         elif isinstance(x, str):
             run.append(x)
         else:
-            flush()
-            inside = inside or id(x) in taken
-            if not inside and id(x) not in on_path or x is not body and x is not core and id(x) not in on_path and _link_list(x):
-                continue
-            todo.append((None, inside))
+            if x.block:
+                flush()
+            inside = inside or x is core
+            if id(x) not in path:
+                linked = x.links >= 2 and 2 * x.link_chars > x.chars
+                if x.density < threshold and x.block and (linked or not inside and not article):
+                    continue
+                inside = True
+            if x.block:
+                todo.append((None, inside))
             for item in reversed(x.items):
-                if isinstance(item, Block) or inside or body is not whole or item is None:
+                if isinstance(item, Node) or inside or article or item is None:
                     todo.append((item, inside))
     flush()
     return texts
 
 
-def _measured_below(body: Block) -> list[Block]:
-    order, todo = [], [body]
-    while todo:
-        b = todo.pop()
-        order.append(b)
-        todo += b.blocks()
-    return order[::-1]
-
-
 def extract(html: str | None) -> str:
     """The page's main text: blocks parted by an empty line; empty if there is none."""
     return "\n\n".join(main_blocks(parse(html))) if html else ""

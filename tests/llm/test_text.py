@@ -112,6 +112,83 @@ def test_extract(body, text):
     assert htmltext.extract(PAGE % body) == text
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<body><div id='promo-feature'><article><h1>A</h1><p>one two</p></article></div><div class=promo><p>Buy it all now</p></div></body>", "A\n\none two"),
+        ("<body><h1>Top</h1><div class='share-story'>%s</div></body>" % ("<p>" + "long words " * 30 + "</p>"), ("long words " * 30).strip()),
+        ("<body><div class='post has-comments no-sidebar'><p>Here it is.</p></div><div id=comments><article class=comment><p>%s</p></article></div></body>" % ("me too " * 50), "Here it is."),
+        ("<body><form action=x><article><p>In a form.</p><form><p>Mail me</p></form></article></form></body>", "In a form."),
+        ("<body><article class='comment'><p>First!</p></article><main><p>Story.</p></main></body>", "Story."),
+    ],
+)
+def test_names_do_not_drop_the_article(html, text):
+    assert text in htmltext.extract(html) and not any(x in htmltext.extract(html) for x in ("Buy", "me too", "Mail", "First"))
+
+
+def test_densities_part_an_article():
+    """No name or element tells the blocks apart here, only how much of them is links."""
+    prose = "<div><p>" + "plain words of prose " * 20 + "</p><p>Short.</p><p>With <a href=1>one link</a> in it, as prose has.</p></div>"
+    links = "<div>" + "".join(f"<p><a href={i}>Another story {i}</a></p>" for i in range(8)) + "</div>"
+    for wrap in ("<body><article>%s%s</article></body>", "<body><div>%s%s</div></body>"):
+        text = htmltext.extract(wrap % (prose, links))
+        assert "Another" not in text and "Short." in text and "one link" in text
+
+
+def test_density_by_definition():
+    """Counts and densities of a page against a plain reading of it by another parser."""
+    from html.parser import HTMLParser
+    from math import e, log
+
+    html = "<body><div><p>abc <b>de</b></p><p><a>link</a> fgh</p></div><ul><li><a>x</a></li><li><a>y</a> <i>zz</i></li></ul></body>"
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.all = [], []
+
+        def handle_starttag(self, tag, attrs):
+            for x in self.open:
+                x[3] += 1
+                x[4] += tag == "a"
+            self.open.append([tag, 0, 0, 0, 0])
+            self.all.append(self.open[-1])
+
+        def handle_endtag(self, tag):
+            self.open.pop()
+
+        def handle_data(self, data):
+            n = len(data.replace(" ", ""))
+            for x in self.open:
+                x[1] += n
+                x[2] += n * any(y[0] == "a" for y in self.open)
+
+    plain = Plain()
+    plain.feed(html)
+    _, bc, blc, _, _ = plain.all[0]
+
+    def by_definition(c, lc, t, lt):
+        lcs, t, lts = lc or 1, t or 1, lt or 1
+        return c / t * log(max(c / lcs * t / lts, 1 + 1e-9)) / log(log(c / (c - lc or 1) * lc + blc / bc * c + e))
+
+    root = htmltext.parse(html)
+    order = htmltext._measure(root)
+    found = sorted((b.tag, b.chars, b.link_chars, b.tags, b.links) for b in order if b is not root)
+    assert found == sorted(map(tuple, plain.all))
+    for b in order:
+        if b is not root:
+            assert htmltext.density(b, root) == pytest.approx(by_definition(b.chars, b.link_chars, b.tags, b.links))
+
+
+@pytest.mark.parametrize("html", ["<div>" * 30_000 + "</p></span>" * 30_000, "<i><div>" + "<b>" * 30_000 + "</i>" * 30_000, "<div>" * 30_000 + "<body>" * 30_000, "<div class=promo>" * 30_000 + "x"])
+def test_work_grows_with_the_page(html):
+    import time
+
+    began = time.time()
+    htmltext.extract(html)
+    assert time.time() - began < 10
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE % "<article><p>Hé</p></article>"), (2, None, None), (3, "u", ""), (4, "u", "plain <3 text"), (5, "u", "<p><b>" * 20_000 + "deep"), (6, "u", "<nav>only menu</nav>"), (1, "u", PAGE % "<article><p>Hé</p></article>")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
