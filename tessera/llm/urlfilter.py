@@ -6,6 +6,11 @@ and every level of a tree is one aggregate over that table (gradient and
 curvature sums by node, feature and bin), of which only the histogram, of at most
 nodes x features x ``BINS`` rows, reaches the driver.  A tree is then a CASE
 expression, so scoring is a projection in generated code.
+
+Suffix statistics are block rates of what urls end in (top-level domain, last two
+labels) and of their first host label and path segment, drawn to the overall rate by
+``PRIOR`` urls.  A labelled url's own rates leave out the hosts of its fold, as a new
+url's rates lack it: so the trees learn how far such rates can be trusted.
 """
 
 from __future__ import annotations
@@ -23,6 +28,8 @@ TREES, DEPTH, RATE, RIDGE = 12, 3, 0.4, 1.0
 BINS = 16
 #: Weight of the overall block rate in a suffix's rate, in urls.
 PRIOR = 20.0
+#: Folds of hosts.
+FOLDS = 4
 
 
 @dataclass(frozen=True)
@@ -105,18 +112,26 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 
 
 def suffix_keys(host: Column, path: Column) -> dict[str, Column]:
-    """What urls are counted by: top-level domain, last two labels, and the former with the first path segment."""
-    top = F.substring_index(host, ".", -1)
+    """What urls are counted by: top-level domain, last two labels, first label, first path segment."""
     return {
-        "top": top,
+        "top": F.substring_index(host, ".", -1),
         "pair": F.substring_index(host, ".", -2),
-        "section": F.concat(top, F.lit("/"), F.regexp_extract(path, "^/([^/]*)/", 1)),
+        "label": F.substring_index(host, ".", 1),
+        "segment": F.regexp_extract(path, "^/([^/]*)/", 1),
     }
 
 
 LEXICAL = ("url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "parameters", "fragment", "entropy")
-SUFFIX = ("top", "pair", "section")
+SUFFIX = ("top", "pair", "label", "segment")
 FEATURES = LEXICAL + tuple(f"rate_{k}" for k in SUFFIX)
+#: Suffix statistics that a tree may split by, besides the lexical features, in turn: where one kind says nothing of a
+#: url (a domain never labelled), the trees of the other still do.
+TURNS = (("rate_label", "rate_segment"), ("rate_top", "rate_pair"))
+
+
+def allowed(tree: int) -> tuple[str, ...]:
+    """The features that a tree, by its number, may split by."""
+    return LEXICAL + TURNS[tree % len(TURNS)]
 
 
 class UrlModel:
@@ -125,14 +140,34 @@ class UrlModel:
     def __init__(self, rates: dict[str, DataFrame], base: float, edges: dict[str, list[float]], trees: list, start: float):
         self.rates, self.base, self.edges, self.trees, self.start = rates, base, edges, trees, start
 
-    def featured(self, urls: DataFrame) -> DataFrame:
-        """``urls`` (with __host, __path, __url) with a column for every feature."""
+    def featured(self, urls: DataFrame, fold: Column | None = None) -> DataFrame:
+        """``urls`` (with __host, __path, __url) with a column for every feature; rates without the hosts of ``fold``."""
+        urls = urls.withColumn("__fold", F.lit(-1) if fold is None else fold)
         for name, col in suffix_keys(F.col("__host"), F.col("__path")).items():
-            rate = self.rates[name].select(F.col("key").alias("__key"), F.col("rate").alias(f"rate_{name}"))
-            urls = urls.withColumn("__key", col).join(rate, "__key", "left").drop("__key")
-            urls = urls.withColumn(f"rate_{name}", F.coalesce(f"rate_{name}", F.lit(self.base)))
+            sums = self.rates[name]
+            whole = sums.groupBy(F.col("key").alias("__key")).agg(F.sum("n").alias("__n"), F.sum("s").alias("__s"))
+            urls = urls.withColumn("__key", col).join(whole, "__key", "left")
+            n, s = F.coalesce("__n", F.lit(0)), F.coalesce("__s", F.lit(0.0))
+            if fold is not None:
+                own = sums.select(F.col("key").alias("__key"), F.col("fold").alias("__fold"), F.col("n").alias("__m"), F.col("s").alias("__t"))
+                urls = urls.join(own, ["__key", "__fold"], "left")
+                n, s = n - F.coalesce("__m", F.lit(0)), s - F.coalesce("__t", F.lit(0.0))
+            rate = (s + PRIOR * self.base) / (n + PRIOR)
+            # Without a labelled url of its key a new url has no rate.
+            urls = urls.withColumn(f"rate_{name}", rate if fold is not None else F.when(n > 0, rate)).drop("__key", "__n", "__s", "__m", "__t")
         return urls.withColumns(lexical(F.col("__url"), F.col("__host"), F.col("__path")))
 
+    def splits(self) -> dict[str, int]:
+        """How often each feature splits, over all trees."""
+        found: dict[str, int] = {}
+        todo = list(self.trees)
+        while todo:
+            tree = todo.pop()
+            if not isinstance(tree, float):
+                found[tree[0]] = found.get(tree[0], 0) + 1
+                todo += tree[2:4]
+        return found
+
     def margin(self) -> Column:
         out = F.lit(self.start)
         for tree in self.trees:
@@ -144,11 +179,18 @@ class UrlModel:
 
 
 def tree_value(tree) -> Column:
-    """A tree as an expression: a leaf is a number, a node (feature, edge, below or equal, above)."""
+    """A tree as an expression: a leaf is a number, a node (feature, edge, below or equal, above, share below).
+
+    Where the feature is null both sides count, by their shares of the labelled urls.
+    """
     if isinstance(tree, float):
         return F.lit(tree)
-    feature, edge, low, high = tree
-    return F.when(F.col(feature) <= edge, tree_value(low)).otherwise(tree_value(high))
+    feature, edge, low, high, share = tree
+    below, above = tree_value(low), tree_value(high)
+    sides = F.when(F.col(feature) <= edge, below)
+    if feature not in LEXICAL:
+        sides = sides.when(F.col(feature).isNull(), share * below + (1 - share) * above)
+    return sides.otherwise(above)
 
 
 def train(labelled: DataFrame) -> UrlModel:
@@ -163,15 +205,15 @@ def train(labelled: DataFrame) -> UrlModel:
     total = rows.agg(F.count("*").alias("n"), F.sum("y").alias("s")).first()
     n, s = total["n"], total["s"] or 0.0
     base = (s + 1) / (n + 2)
+    fold = F.pmod(F.xxhash64("__host"), F.lit(FOLDS)).cast("int")
     rates = {}
     for name, col in suffix_keys(F.col("__host"), F.col("__path")).items():
-        sums = rows.groupBy(col.alias("key")).agg(F.count("*").alias("n"), F.sum("y").alias("s"))
-        rates[name] = settle(sums.select("key", ((F.col("s") + PRIOR * base) / (F.col("n") + PRIOR)).alias("rate")))
+        rates[name] = settle(rows.groupBy(col.alias("key"), fold.alias("fold")).agg(F.count("*").alias("n"), F.sum("y").alias("s")))
     model = UrlModel(rates, base, {}, [], 0.0)
     model.start = math.log(base / (1 - base))
     if not n or s in (0.0, float(n)):
         return model
-    seen = model.featured(rows)
+    seen = model.featured(rows, fold)
     steps = [i / BINS for i in range(1, BINS)]
     cuts = seen.agg(*[F.percentile_approx(f, steps, 2000).alias(f) for f in FEATURES]).first()
     model.edges = {f: sorted(set(cuts[f])) for f in FEATURES}
@@ -180,7 +222,7 @@ def train(labelled: DataFrame) -> UrlModel:
     # The margin so far is a column, written with every tree: expressions stay short, and a lost executor costs one tree.
     table = settle(table.withColumn("margin", F.lit(model.start)))
     for i in range(TREES):
-        tree = _grow(table, model)
+        tree = _grow(table, model, allowed(i))
         model.trees.append(tree)
         if i < TREES - 1:
             new = settle(table.withColumn("margin", F.col("margin") + _in_bins(tree, model.edges)))
@@ -192,34 +234,35 @@ def train(labelled: DataFrame) -> UrlModel:
 def _in_bins(tree, edges) -> Column:
     if isinstance(tree, float):
         return F.lit(tree)
-    feature, edge, low, high = tree
+    feature, edge, low, high, _ = tree
     return F.when(F.col(feature) <= edges[feature].index(edge), _in_bins(low, edges)).otherwise(_in_bins(high, edges))
 
 
-def _grow(table: DataFrame, model: UrlModel):
+def _grow(table: DataFrame, model: UrlModel, features: tuple[str, ...]):
     """One tree for ``table`` (bins, n, s, margin), a level at a time; nodes are numbered 1, then 2k and 2k + 1 below k."""
     p = 1 / (1 + F.exp(-F.col("margin")))
     node = F.lit(1)
     rows = table.withColumns({"g": F.col("s") - F.col("n") * p, "h": F.col("n") * p * (1 - p)})
     splits: dict[int, tuple] = {}
     leaves: dict[int, float] = {}
+    shares: dict[int, float] = {}
     value = lambda g, h: RATE * g / (h + RIDGE)
     for _ in range(DEPTH):
-        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("bin")) for i, f in enumerate(FEATURES)])).alias("c")
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("bin")) for i, f in enumerate(features)])).alias("c")
         sums = rows.select(node.alias("node"), "g", "h", cells).groupBy("node", "c.f", "c.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
         found: dict[int, dict[int, dict[int, tuple]]] = {}
         for r in sums.collect():
             found.setdefault(r["node"], {}).setdefault(r["f"], {})[r["bin"]] = (r["g"], r["h"])
         node = F.lit(0)
-        for k, features in sorted(found.items()):
+        for k, bins in sorted(found.items()):
             if k == 0:
                 continue
-            g, h = (sum(x[i] for x in features[0].values()) for i in (0, 1))
+            g, h = (sum(x[i] for x in bins[0].values()) for i in (0, 1))
             best = (1e-6, None)
-            for i, f in enumerate(FEATURES):
+            for i, f in enumerate(features):
                 left_g = left_h = 0.0
                 for b in range(len(model.edges[f])):
-                    x = features[i].get(b, (0.0, 0.0))
+                    x = bins[i].get(b, (0.0, 0.0))
                     left_g, left_h = left_g + x[0], left_h + x[1]
                     gain = left_g**2 / (left_h + RIDGE) + (g - left_g) ** 2 / (h - left_h + RIDGE) - g**2 / (h + RIDGE)
                     if round(gain, 6) > best[0]:
@@ -228,7 +271,7 @@ def _grow(table: DataFrame, model: UrlModel):
                 leaves[k] = value(g, h)
                 continue
             i, b, left_g, left_h = best[1]
-            splits[k] = (FEATURES[i], b)
+            splits[k], shares[k] = (features[i], b), left_h / h
             leaves[2 * k], leaves[2 * k + 1] = value(left_g, left_h), value(g - left_g, h - left_h)
         for k, (f, b) in splits.items():
             if 2 * k not in splits and 2 * k + 1 not in splits:
@@ -239,7 +282,7 @@ def _grow(table: DataFrame, model: UrlModel):
         if k not in splits:
             return float(leaves.get(k, 0.0))
         f, b = splits[k]
-        return (f, model.edges[f][b], build(2 * k), build(2 * k + 1))
+        return (f, model.edges[f][b], build(2 * k), build(2 * k + 1), shares[k])
 
     return build(1)
 

@@ -93,6 +93,63 @@ def test_url_trees(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def plain_boosting(rows, edges):
+    """Gradient boosting by the definition: every split of every leaf tried on the rows themselves."""
+    x = np.array([[r[f] for f in urlfilter.FEATURES] for r in rows])
+    y = np.array([r["y"] for r in rows])
+    base = (y.sum() + 1) / (len(y) + 2)
+    margin = np.full(len(y), np.log(base / (1 - base)))
+
+    def value(g, h):
+        return urlfilter.RATE * g.sum() / (h.sum() + urlfilter.RIDGE)
+
+    def score(g, h):
+        return g.sum() ** 2 / (h.sum() + urlfilter.RIDGE)
+
+    def grow(which, g, h, depth, names):
+        best = (1e-6, None)
+        for i, f in enumerate(urlfilter.FEATURES) if depth else ():
+            if f not in names:
+                continue
+            for edge in edges[f]:
+                low = which & (x[:, i] <= edge)
+                high = which & ~low
+                gain = round(score(g[low], h[low]) + score(g[high], h[high]) - score(g[which], h[which]), 6)
+                if gain > best[0]:
+                    best = (gain, (low, high))
+        if best[1] is None:
+            margin[which] += value(g[which], h[which])
+            return
+        for part in best[1]:
+            grow(part, g, h, depth - 1, names)
+
+    for tree in range(urlfilter.TREES):
+        p = 1 / (1 + np.exp(-margin))
+        grow(np.ones(len(y), dtype=bool), y - p, p * (1 - p), urlfilter.DEPTH, urlfilter.allowed(tree))
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_boosting_against_a_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(urlfilter, "TREES", 4)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        shop, q = rng.choice(["shop", "blog", "www"]), "?a=1&b=2" * int(rng.integers(0, 3))
+        rows.append((f"http://{shop}.h{int(rng.integers(0, 40))}.{rng.choice(['com', 'net'])}/{rng.choice(['a', 'b'])}/{i}{q}", int(shop == "shop" and q != "" or rng.random() < 0.1)))
+    labelled = spark.createDataFrame(rows, "url string, blocked int")
+    model = urlfilter.train(labelled)
+    url = F.col("url")
+    seen = labelled.select(url.alias("__url"), urlfilter.host_of(url).alias("__host"), urlfilter.path_of(url).alias("__path"), F.col("blocked").cast("double").alias("y"))
+    found = model.featured(seen, F.pmod(F.xxhash64("__host"), F.lit(urlfilter.FOLDS)).cast("int")).withColumn("p", model.probability()).collect()
+    assert [r["p"] for r in found] == pytest.approx(plain_boosting(found, model.edges).tolist())
+    assert len(model.splits()) > 1
+    # A row's own rate lacks the hosts of its fold.
+    r = found[0]
+    others = [q for q in found if q["__host"].split(".")[0] == r["__host"].split(".")[0] and q["__fold"] != r["__fold"]]
+    base = (sum(y for _, y in rows) + 1) / (len(rows) + 2)
+    assert r["rate_label"] == pytest.approx((sum(q["y"] for q in others) + urlfilter.PRIOR * base) / (len(others) + urlfilter.PRIOR))
+
+
 def test_quantisation_bounds():
     rng = np.random.default_rng(1)
     for scale in (1.0, 1e-200, 1e200):
