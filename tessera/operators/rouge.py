@@ -65,11 +65,14 @@ def overlap(pairs: DataFrame, units, alpha: float = 0.5) -> DataFrame:
     on one side scores 0.
     """
     key = ["id", "model_id"]
-    both = pairs.select(*key, units(tokens(F.col("system"))).alias("s"), units(tokens(F.col("model"))).alias("m"))
-    sizes = both.select(*key, F.size("s").cast("long").alias("n_system"), F.size("m").cast("long").alias("n_model"))
-    count = lambda side: both.select(*key, F.explode(side).alias("u")).groupBy(*key, "u").agg(F.count("*").alias(side))
-    hits = count("s").join(count("m"), [*key, "u"]).groupBy(*key).agg(F.sum(F.least("s", "m")).alias("hits"))
-    return with_scores(sizes.join(hits, key, "left").withColumn("hits", F.coalesce("hits", F.lit(0))), alpha)
+    # The words are a column of their own: units look at them many times.
+    words = pairs.select(*key, tokens(F.col("system")).alias("sw"), tokens(F.col("model")).alias("mw"))
+    side = lambda name, i: F.transform(units(F.col(name)), lambda u: F.struct(F.lit(i).alias("side"), u.alias("u")))
+    both = words.select(*key, F.explode_outer(F.concat(side("sw", 0), side("mw", 1))).alias("x"))
+    of = lambda i: F.sum(F.when(F.col("x.side") == i, 1).otherwise(0))
+    counted = both.groupBy(*key, F.col("x.u").alias("u")).agg(of(0).alias("s"), of(1).alias("m"))
+    sums = counted.groupBy(*key).agg(F.sum(F.least("s", "m")).alias("hits"), F.sum("s").alias("n_system"), F.sum("m").alias("n_model"))
+    return with_scores(sums.select(*key, "n_system", "n_model", "hits"), alpha)
 
 
 def with_scores(rows: DataFrame, alpha: float = 0.5) -> DataFrame:
