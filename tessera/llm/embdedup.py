@@ -1,8 +1,9 @@
 """Near-duplicate embeddings by int8 tile products with rigorous error bounds.
 
 Distinct vectors are the points; copies are counted, not compared.  Points are
-dealt into blocks of at most ``BLOCK`` that lie near one pivot each, and every
-pair of blocks is a tile.  In a tile:
+dealt into blocks of at most ``BLOCK`` that lie near one pivot each (near the same
+second pivot, too, where many points share the first), and every pair of blocks is a
+tile.  Tiles are sent the int8 codes of their points, made once.  In a tile:
 
 * the triangle inequality on angles rules it out whole where the pivots' angle
   less both radii exceeds the threshold's,
@@ -11,11 +12,15 @@ pair of blocks is a tile.  In a tile:
   vectors are multiplied in slices).  With u = s c + e, where s is the scale, c
   the code and e the rounding error of a vector, |u.v - s t (c.d)| <=
   |e||v^| + |u^||f| + |e||f|, a bound that each vector's own norms give,
-* only pairs whose product plus bound reaches the threshold are computed again in
-  double precision from the original components.
+* pairs whose product less the bound reaches the threshold are links, and those
+  whose product plus the bound doesn't are none.
 
-A tile reports its points' link counts and a spanning forest of its links, so
-its rows grow with its points and not with its pairs.
+Tiles with pairs between the two are sent once more, with the original components,
+and only those pairs are computed in double precision.
+
+A tile reports its points' link counts and a spanning forest of its links, so its
+rows grow with its points and not with its pairs; pairs are held for ``ROWS`` points of
+one block at a time.
 """
 
 from __future__ import annotations
@@ -29,9 +34,13 @@ from pyspark.sql import functions as F
 from .common import prepare, settle
 from .components import connected_components
 
-BLOCK = 4096
-#: Pivots at most; one for every half block of points till then.
-PIVOTS = 256
+BLOCK = 8192
+#: Points of a block that are multiplied at a time.
+ROWS = 512
+#: Pivots at most; one for every half block of points till then.  Beyond that points are parted by their second pivot.
+PIVOTS = 2048
+#: Blocks whose centres are compared at a time with as many others.
+HEADS = 512
 #: 127 * 127 * 1024 < 2 ** 24
 EXACT_DIMS = 1024
 #: Slack for the rounding of the bound's own arithmetic.
@@ -60,46 +69,82 @@ def unit(x: np.ndarray) -> np.ndarray:
 class Quantised:
     """Int8 codes of unit vectors and what bounds their products' errors."""
 
-    def __init__(self, u: np.ndarray):
-        self.scale = np.abs(u).max(axis=1) / 127
-        codes = np.rint(u / self.scale[:, None]).astype(np.int8)
-        self.codes = codes
-        near = codes * self.scale[:, None]
-        self.error = np.sqrt(((u - near) ** 2).sum(axis=1))
-        self.length = np.sqrt((near**2).sum(axis=1))
+    def __init__(self, codes: np.ndarray, scale: np.ndarray, error: np.ndarray, length: np.ndarray):
+        self.codes, self.scale, self.error, self.length = codes, scale, error, length
+
+    @classmethod
+    def of(cls, u: np.ndarray) -> "Quantised":
+        scale = np.abs(u).max(axis=1) / 127
+        codes = np.rint(u / scale[:, None]).astype(np.int8)
+        near = codes * scale[:, None]
+        up = lambda x: np.nextafter(np.sqrt(x).astype(np.float32), np.float32(np.inf))
+        return cls(codes, scale, up(((u - near) ** 2).sum(axis=1)), up((near**2).sum(axis=1)))
+
+    def pack(self) -> list[bytes]:
+        return [x.tobytes() for x in (self.codes, self.scale, self.error, self.length)]
+
+    @classmethod
+    def unpack(cls, codes: bytes, scale: bytes, error: bytes, length: bytes) -> "Quantised":
+        scales = np.frombuffer(scale)
+        return cls(np.frombuffer(codes, dtype=np.int8).reshape(len(scales), -1), scales, np.frombuffer(error, np.float32), np.frombuffer(length, np.float32))
 
     def products(self, other: "Quantised", rows: slice) -> tuple[np.ndarray, np.ndarray]:
         """Approximate cosines of ``rows`` with all of ``other``, and bounds of their errors."""
         dot = np.zeros((len(self.scale[rows]), len(other.scale)), dtype=np.float64)
         for d in range(0, self.codes.shape[1], EXACT_DIMS):
             part = slice(d, d + EXACT_DIMS)
-            dot += self.codes[rows, part].astype(np.float32) @ other.codes[:, part].astype(np.float32).T
+            dot += self.codes[rows, part].astype(np.float32) @ other.wide(part)
         dot *= self.scale[rows, None] * other.scale[None, :]
-        e, n = self.error[rows, None], self.length[rows, None]
-        f, m = other.error[None, :], other.length[None, :]
+        e, n = self.error[rows, None].astype(np.float64), self.length[rows, None].astype(np.float64)
+        f, m = other.error[None, :].astype(np.float64), other.length[None, :].astype(np.float64)
         return dot, e * m + n * f + e * f
 
+    def wide(self, part: slice) -> np.ndarray:
+        """Codes as 32-bit floats, which hold sums of their products exactly; those of one slice are kept."""
+        if getattr(self, "_part", None) != part:
+            self._part, self._wide = part, np.ascontiguousarray(self.codes[:, part].astype(np.float32).T)
+        return self._wide
+
+
+def tile_links(
+    a: Quantised, b: Quantised | None, copies: np.ndarray, least: float, exact: tuple[np.ndarray, np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Links with cosine >= ``least`` between the points of ``a`` and ``b``, or within ``a``.
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with cosine >= ``least`` between the rows of ``a`` and ``b``, or within ``a``."""
-    ua = unit(a)
-    ub = ua if b is None else unit(b)
-    qa = Quantised(ua)
-    qb = qa if b is None else Quantised(ub)
-    left, right = [], []
-    for start in range(0, len(a), 512):
-        near, bound = qa.products(qb, slice(start, start + 512))
-        maybe = near + bound >= least - SLACK
+    Points are numbered through, those of ``b`` last; ``copies`` goes by these
+    numbers.  Returns how many vectors each point links to, the ends of a spanning
+    forest, and whether there are pairs that the bounds don't decide.  With ``exact``
+    (the unit vectors of both blocks) only the undecided pairs are looked at, and decided.
+    """
+    other, shift = (a, 0) if b is None else (b, len(a.scale))
+    n = len(copies)
+    counts = np.zeros(n)
+    x = y = np.zeros(0, dtype=np.int64)
+    open_pairs = False
+    for start in range(0, len(a.scale), ROWS):
+        near, bound = a.products(other, slice(start, start + ROWS))
+        sure = near - bound >= least + SLACK
+        maybe = ~sure & (near + bound >= least - SLACK)
         if b is None:
-            maybe &= np.arange(len(ub))[None, :] > np.arange(start, start + len(near))[:, None]
-        i, j = np.nonzero(maybe)
-        for part in range(0, len(i), 1 << 16):
-            x, y = i[part : part + (1 << 16)] + start, j[part : part + (1 << 16)]
-            sure = np.einsum("ij,ij->i", ua[x], ub[y]) >= least
-            left.append(x[sure])
-            right.append(y[sure])
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate(left or [none]), np.concatenate(right or [none])
+            later = np.arange(len(other.scale))[None, :] > np.arange(start, start + len(near))[:, None]
+            sure &= later
+            maybe &= later
+        open_pairs = open_pairs or bool(maybe.any())
+        i, j = np.nonzero(maybe if exact is not None else sure)
+        if exact is not None:
+            kept = np.zeros(len(i), dtype=bool)
+            for part in range(0, len(i), 1 << 16):
+                some = slice(part, part + (1 << 16))
+                kept[some] = np.einsum("ij,ij->i", exact[0][i[some] + start], exact[1][j[some]]) >= least
+            i, j = i[kept], j[kept]
+        if not len(i):
+            continue
+        i, j = i + start, j + shift
+        counts += np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
+        x, y = np.concatenate((x, i)), np.concatenate((y, j))
+        tree = spanning(x, y, n)
+        x, y = x[tree], y[tree]
+    return counts, x, y, open_pairs
 
 
 def spanning(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
@@ -158,7 +203,7 @@ def vector_components(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         parsed.where(F.col("data").isNotNull()).groupBy("data")
         .agg(F.min("vec_id").alias("point"), F.count("*").alias("copies"))
     )
-    # Blocks: near one of at most PIVOTS points, then at most BLOCK of them by a hash.
+    # Blocks: near one of at most PIVOTS points; many of these are parted by the second nearest, then by a hash.
     wanted = max(1, min(PIVOTS, points.count() * 2 // BLOCK))
     pivots = points.orderBy(F.xxhash64("point")).limit(wanted).select("data").toArrow().column(0).to_pylist()
 
@@ -168,24 +213,29 @@ def vector_components(vectors: DataFrame, least: float = 0.95) -> DataFrame:
             own[size] = unit(np.array([np.frombuffer(p) for p in pivots if len(p) == size]))
         for batch in batches:
             data = batch.column(1).to_pylist()
-            near = []
+            near, second = [], []
             for x in data:
-                u = unit(np.frombuffer(x)[None, :])
-                near.append(int((own[len(x)] @ u[0]).argmax()) if len(x) in own else 0)
+                order = [0, 0]
+                if len(x) in own:
+                    cosine = own[len(x)] @ unit(np.frombuffer(x)[None, :])[0]
+                    order = np.argpartition(-cosine, 1)[:2] if len(cosine) > 1 else order
+                    order = sorted(order, key=lambda k: -cosine[k])
+                near.append(int(order[0]))
+                second.append(int(order[1]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(near, pa.int32())],
-                names=["point", "data", "copies", "pivot"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(near, pa.int32()), pa.array(second, pa.int32())],
+                names=["point", "data", "copies", "pivot", "second"],
             )
 
-    near = settle(points.select("point", "data", "copies").mapInArrow(assign, "point long, data binary, copies long, pivot int"))
-    width = F.length("data").alias("width")
-    shares = near.groupBy("pivot", width).agg(F.count("*").alias("n")).select(
-        "pivot", "width", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")
-    )
+    near = points.select("point", "data", "copies").mapInArrow(assign, "point long, data binary, copies long, pivot int, second int")
+    near = settle(near.withColumn("width", F.length("data")))
+    # Both tables have a row for each pair of pivots that is nearest to a point, at most.
+    wide = F.broadcast(near.groupBy("width", "pivot").agg((F.count("*") > BLOCK).alias("wide")))
+    near = near.join(wide, ["width", "pivot"]).withColumn("second", F.when(F.col("wide"), F.col("second")).otherwise(-1))
+    shares = near.groupBy("width", "pivot", "second").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("point"), F.col("parts")).cast("int")
-    dealt = near.withColumn("width", F.length("data")).join(F.broadcast(shares), ["pivot", "width"])
-    dealt = dealt.select(
-        F.concat_ws("/", F.col("width"), F.col("pivot"), part).alias("block"), "width", "point", "data", "copies"
+    dealt = near.join(shares, ["width", "pivot", "second"]).select(
+        F.concat_ws("/", "width", "pivot", "second", part).alias("block"), "point", "data", "copies"
     )
 
     def describe(key, table):
@@ -194,70 +244,54 @@ def vector_components(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         centre = u.sum(axis=0)
         centre = centre / max(1e-300, float(np.sqrt(centre @ centre)))
         radius = float(_angle(u @ centre).max()) + 1e-6
-        return pa.Table.from_arrays(
-            [
-                pa.array([key[0].as_py()]), pa.array([len(data[0])], pa.int32()), pa.array([centre.tobytes()]),
-                pa.array([radius]), pa.array([b"".join(data)]),
-                pa.array([table.column("point").to_numpy().tobytes()]), pa.array([table.column("copies").to_numpy().tobytes()]),
-            ],
-            names=["block", "width", "centre", "radius", "data", "points", "copies"],
-        )
-
-    blocks = settle(
-        dealt.groupBy("block").applyInArrow(
-            describe, "block string, width int, centre binary, radius double, data binary, points binary, copies binary"
-        )
-    )
-    # Which tiles can hold a link: blocks against blocks, by their centres alone.
-    heads = blocks.select("block", "width", "centre", "radius")
-    most = float(np.arccos(least))
+        values = [
+            key[0].as_py(), len(data[0]), centre.tobytes(), radius, b"".join(data), *Quantised.of(u).pack(),
+            table.column("point").to_numpy().tobytes(), table.column("copies").to_numpy().tobytes(),
+        ]
+        return pa.Table.from_arrays([pa.array([v]) for v in values], names=names)
 
-    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            reach = batch.column(4).to_numpy() + most + 1e-6
-            keep = [float(_angle(np.frombuffer(x) @ np.frombuffer(y))) <= r for x, y, r in zip(a, b, reach)]
-            both = pa.RecordBatch.from_arrays(batch.columns[:2], names=["i", "j"])
-            yield both.filter(pa.array(keep, pa.bool_()))
-
-    other = heads.select(*[F.col(c).alias(f"{c}_2") for c in heads.columns])
-    pairs = heads.join(other, (F.col("width") == F.col("width_2")) & (F.col("block") <= F.col("block_2"))).select(
-        F.col("block").alias("i"), F.col("block_2").alias("j"), F.col("centre"), F.col("centre_2"),
-        (F.col("radius") + F.col("radius_2")).alias("reach"),
-    )
-    tiles = settle(pairs.mapInArrow(cosines, "i string, j string"))
+    schema = "block string, width long, centre binary, radius double, data binary, codes binary, scale binary, error binary, length binary, points binary, copies binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+    blocks = settle(dealt.groupBy("block").applyInArrow(describe, schema))
+    tiles = settle(_tiles(blocks, least))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                vectors = np.frombuffer(r["data"]).reshape(-1, r["width"] // 8)
-                points, copies = np.frombuffer(r["points"], dtype=np.int64), np.frombuffer(r["copies"], dtype=np.int64)
-                if r["i"] == r["j"]:
-                    i, j = tile_links(vectors, None, least)
-                    both_points, both_copies, shift = points, copies, 0
-                else:
-                    i, j = tile_links(vectors, np.frombuffer(r["data_2"]).reshape(-1, r["width"] // 8), least)
-                    both_points = np.concatenate((points, np.frombuffer(r["points_2"], dtype=np.int64)))
-                    both_copies = np.concatenate((copies, np.frombuffer(r["copies_2"], dtype=np.int64)))
-                    shift = len(points)
-                j = j + shift
-                found = np.bincount(i, both_copies[j], len(both_points)) + np.bincount(j, both_copies[i], len(both_points))
-                tree = spanning(i, j, len(both_points))
-                linked = np.flatnonzero(found)
+                sides = ("",) if r["i"] == r["j"] else ("", "_2")
+                codes = [Quantised.unpack(*(r[f"{c}{x}"] for c in ("codes", "scale", "error", "length"))) for x in sides]
+                points, copies = (np.concatenate([np.frombuffer(r[f"{c}{x}"], dtype=np.int64) for x in sides]) for c in ("points", "copies"))
+                exact = None
+                if "data" in r:
+                    u = [unit(np.frombuffer(r[f"data{x}"]).reshape(-1, r["width"] // 8)) for x in sides]
+                    exact = (u[0], u[-1])
+                counts, x, y, undecided = tile_links(codes[0], codes[1] if len(codes) > 1 else None, copies, least, exact)
+                undecided = int(undecided and exact is None)
+                linked = np.flatnonzero(counts)
+                a = np.r_[points[linked], points[x], np.zeros(undecided, dtype=np.int64)]
+                is_link = np.r_[np.zeros(len(linked), bool), np.ones(len(x), bool), np.zeros(undecided, bool)]
+                b = np.zeros(len(a), dtype=np.int64)
+                b[is_link] = points[y]
+                n = np.zeros(len(a), dtype=np.int64)
+                n[: len(linked)] = counts[linked]
+                blank = len(a) - undecided
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.r_[both_points[linked], both_points[i[tree]]]),
-                        pa.array(np.r_[np.full(len(linked), -1), both_points[j[tree]]], mask=np.r_[np.ones(len(linked), bool), np.zeros(len(tree), bool)]),
-                        pa.array(np.r_[found[linked], np.zeros(len(tree))].astype(np.int64)),
-                    ],
-                    names=["a", "b", "n"],
+                    [pa.array(a), pa.array(b, mask=~is_link), pa.array(n), pa.array([None] * blank + [r["i"]] * undecided, pa.string()), pa.array([None] * blank + [r["j"]] * undecided, pa.string())],
+                    names=["a", "b", "n", "i", "j"],
                 )
 
-    prepare(spark, 2)
-    right = blocks.select(F.col("block").alias("j"), *[F.col(c).alias(f"{c}_2") for c in ("data", "points", "copies")])
-    work = tiles.join(blocks.select(F.col("block").alias("i"), "width", "data", "points", "copies"), "i").join(right, "j")
-    found = settle(work.repartition("i", "j").mapInArrow(compare, "a long, b long, n long"))
+    def compared(tiles: DataFrame, *more: str) -> DataFrame:
+        columns = ["codes", "scale", "error", "length", "points", "copies", *more]
+        left = blocks.select(F.col("block").alias("i"), "width", *columns)
+        right = blocks.select(F.col("block").alias("j"), *[F.col(c).alias(f"{c}_2") for c in columns])
+        prepare(spark, 2)
+        work = tiles.join(left, "i").join(right, "j").repartition("i", "j")
+        return settle(work.mapInArrow(compare, "a long, b long, n long, i string, j string"))
+
+    first = compared(tiles)
+    again = compared(first.where(F.col("i").isNotNull()).select("i", "j"), "data")
     prepare(spark, 4096)
+    found = first.unionByName(again).where(F.col("i").isNull())
     labels = connected_components(found.where(F.col("b").isNotNull()).select("a", "b"))
     counts = found.where(F.col("b").isNull()).groupBy("a").agg(F.sum("n").alias("n"))
     of_data = (
@@ -269,3 +303,30 @@ def vector_components(vectors: DataFrame, least: float = 0.95) -> DataFrame:
         "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id")
     )
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def _tiles(blocks: DataFrame, least: float) -> DataFrame:
+    """``(i, j)``: pairs of ``blocks`` that can hold a link, by their centres and radii; a block with itself, too.
+
+    Blocks are dealt into groups of about ``HEADS``; a task compares two groups.
+    """
+    import pyarrow as pa
+
+    most = float(np.arccos(least))
+    groups = max(1, -(-blocks.count() // HEADS))
+    own = F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    heads = blocks.select("block", "width", "centre", "radius", own.alias("own")).withColumn("other", other)
+    heads = heads.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "block", "width", "centre", "radius", "own")
+
+    def reach(key, table):
+        block, own = table.column("block").to_pylist(), table.column("own").to_numpy()
+        centre, radius = np.array([np.frombuffer(c) for c in table.column("centre").to_pylist()]), table.column("radius").to_numpy()
+        left, right = np.flatnonzero(own == key[0].as_py()), np.flatnonzero(own == key[1].as_py())
+        near = _angle(centre[left] @ centre[right].T) <= radius[left][:, None] + radius[right][None, :] + most + 1e-6
+        i, j = left[np.nonzero(near)[0]], right[np.nonzero(near)[1]]
+        if key[0].as_py() == key[1].as_py():
+            i, j = i[i <= j], j[i <= j]
+        return pa.table({"i": pa.array([block[k] for k in i], pa.string()), "j": pa.array([block[k] for k in j], pa.string())})
+
+    return heads.groupBy("x", "y", "width").applyInArrow(reach, "i string, j string")

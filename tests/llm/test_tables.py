@@ -154,7 +154,7 @@ def test_quantisation_bounds():
     rng = np.random.default_rng(1)
     for scale in (1.0, 1e-200, 1e200):
         u = embdedup.unit(rng.normal(size=(80, 33)) * scale)
-        q = embdedup.Quantised(u)
+        q = embdedup.Quantised.of(u)
         near, bound = q.products(q, slice(0, 80))
         assert (np.abs(near - u @ u.T) <= bound + 1e-12).all()
 
@@ -177,8 +177,10 @@ def brute_components(n, links):
     return label
 
 
-def test_vectors(spark, monkeypatch):
-    monkeypatch.setattr(embdedup, "BLOCK", 32)
+@pytest.mark.parametrize("block, pivots, heads", [(32, 2048, 512), (8, 300, 3), (16, 2, 512)])
+def test_vectors(spark, monkeypatch, block, pivots, heads):
+    for name, value in (("BLOCK", block), ("PIVOTS", pivots), ("HEADS", heads), ("ROWS", 5)):
+        monkeypatch.setattr(embdedup, name, value)
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 16))
     x = [centres[i % 12] + rng.normal(size=16) * rng.choice([0.02, 0.1, 0.3]) for i in range(150)]
