@@ -7,6 +7,7 @@ split and a table look-up per word, whatever the model behind the word is.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -40,11 +41,15 @@ def remainder(col: str, by: int) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which executors and driver share.
 
-    Where the session names none (a local test) one below the warehouse is
-    set, which a local session shares with itself.
+    Where a local session names none (a test) one below the warehouse is set, which
+    it shares with itself.  On a cluster that would be a folder of each machine's
+    own, so there the setting is asked for.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[[^\]]*\])?$", master):
+            raise RuntimeError(f"spark.checkpoint.dir isn't set, and {master or 'this master'} is no local session")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -167,19 +167,30 @@ def test_scores(spark):
 
 
 def test_mixing_is_a_probability():
-    """Over all texts of up to one word of a closed code, probabilities sum to at most one."""
+    """Over all texts of up to one word, probabilities sum to at most one, and a text's is the same beside others."""
     words = [b"a", b"b", b"c", b"d"]
-    vocabulary = mixlm.Vocabulary([mixlm.END, *words], np.array([40, 30, 20, 15, 10]), 115, 5)
+    counts = np.array([40, 30, 20, 15, 1])
+    n, v = np.zeros(mixlm.GROUPS, dtype=np.int64), np.zeros(mixlm.GROUPS, dtype=np.int64)
+    for t, c in zip([mixlm.END, *words], counts):
+        n[mixlm.group_of(t)] += c
+        v[mixlm.group_of(t)] += 1
+    vocabulary = mixlm.Vocabulary([mixlm.END, *words], counts, 106, 5, n, v, 0.5)
     rng = np.random.default_rng(0)
-    logits = rng.normal(size=(mixlm.TABLES, mixlm.SLOTS)).astype(np.float32)
+    logits = rng.normal(size=int(mixlm.ROWS[-1]) * mixlm.CLASSES).astype(np.float32)
     spelling = rng.normal(size=(mixlm.ORDERS, mixlm.SLOTS)).astype(np.float16)
     model = mixlm.MixModel(vocabulary, spelling, np.full((mixlm.DEPTHS, mixlm.ORDERS), 0.5), logits, mixlm.start_weights())
-    worker = mixlm.Worker(vocabulary, model)
+    worker, speller = mixlm.Worker(vocabulary), mixlm.Speller(model)
     texts = [b"", *words, *[bytes([c]) for c in range(97, 123) if bytes([c]) not in words], b"zz", b"zq"]
-    total = 2 ** mixlm.mix(mixlm.Bits(worker, texts), vocabulary, logits, model.start)[0]
-    assert (total > 0).all() and total.sum() <= 1
-    alone = [2 ** mixlm.mix(mixlm.Bits(worker, [t]), vocabulary, logits, model.start)[0][0] for t in texts]
-    assert total == pytest.approx(alone)
+
+    def total(some):
+        bits = mixlm.Bits(worker, some).part()
+        out = np.bincount(bits.of_text, mixlm.stretch_costs(bits, vocabulary, logits, model.start), len(some)) + bits.choices()
+        lane, _, tokens, _, once = bits.unknown()
+        return 2 ** (out + np.bincount(lane, once * speller.cost(tokens) / np.log10(2), len(some)) if len(lane) else out)
+
+    whole = total(texts)
+    assert (whole > 0).all() and whole.sum() <= 1
+    assert whole == pytest.approx([total([t])[0] for t in texts])
 
 
 def test_portions():
