@@ -131,14 +131,14 @@ def test_near_duplicates_equal_all_pairs(spark):
 def test_near_duplicates_of_a_template(spark):
     """Texts of one template, most pairs below 0.8: links between those that are no hub are found, too."""
     r = random.Random(11)
-    source = [f"w{i}" for i in range(120)]
+    source = [f"w{i}" for i in range(300)]
     texts = []
     for i in range(400):
         words = list(source)
         # A bush of close texts around each of many variants, which are further apart.
-        for j in random.Random(i % 40).sample(range(120), 6):
+        for j in random.Random(i % 40).sample(range(300), 6):
             words[j] = f"v{j}_{i % 40}"
-        for j in r.sample(range(120), 2 + i % 3):
+        for j in r.sample(range(300), 2 + i % 3):
             words[j] = f"u{i}_{j}"
         texts.append(" ".join(words))
     sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in texts]
