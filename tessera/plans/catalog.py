@@ -450,10 +450,11 @@ def summaries(spark, sf):
     return learn.summaries(g.summary_nodes, g.nodes)
 
 
-@query("downsample", "SELECT doc_id, quality, toxic FROM labels WHERE toxic = 1 OR doc_id % 10 = 0", lexical=False)
+@query("downsample", "SELECT doc_id, quality, toxic FROM labels WHERE toxic = 1 OR substr(md5(doc_id || '/0'), 1, 8) < '19999999'", lexical=False)
 def downsample(spark, sf):
     """All positives and a tenth of the negatives; the share is the operator's own."""
-    return table(spark, sf, "labels").where((F.col("toxic") == 1) | (F.col("doc_id") % 10 == 0)).select("doc_id", "quality", "toxic")
+    rows = table(spark, sf, "labels").withColumns({"edge_id": F.col("doc_id"), "label": F.col("toxic")})
+    return edgefilter.thin_negatives(rows).select("doc_id", "quality", "toxic")
 
 
 _PERCEPTS = ", p AS (SELECT 'c1' AS template, c1 AS value, line_num FROM edge UNION ALL SELECT 'relation', relation, line_num FROM edge)\n"

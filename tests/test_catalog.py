@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from tessera.plans import catalog
+from tessera.plans import blocktables, catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -23,10 +23,13 @@ def plain(v):
     return round(float(v), 6) if isinstance(v, (float, decimal.Decimal)) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+QUERIES, ORACLES = catalog.QUERIES | blocktables.QUERIES, catalog.ORACLES | blocktables.ORACLES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_duckdb(spark, con, name):
-    df = catalog.QUERIES[name](spark, SF)
-    rel = con.sql(catalog.ORACLES[name])
+    df = QUERIES[name](spark, SF)
+    rel = con.sql(ORACLES[name])
     columns = sorted(df.columns)
     assert sorted(rel.columns) == columns
     at = [list(rel.columns).index(c) for c in columns]
