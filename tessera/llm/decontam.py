@@ -1,8 +1,10 @@
 """Benchmark decontamination by CGK embedding, bit sampling and exact verification.
 
-A text is a sequence of words (A-Z in lower case, ASCII punctuation apart).  A
-document holds an item if some stretch of it is within ``EDITS`` = 20 % of the
-item's words in edit distance (words inserted, deleted or replaced).
+A text is a sequence of words (A-Z in lower case, ASCII punctuation apart); a
+character of a script written without spaces (Han, Kana, Thai, Lao, Burmese,
+Khmer) is a word.  A document holds an item if some stretch of it is within
+``EDITS`` = 20 % of the item's words in edit distance (words inserted, deleted or
+replaced).
 
 * Windows are sized to the items: items fall in size classes, and a class's
   windows have the words of its shortest item.
@@ -18,10 +20,13 @@ item's words in edit distance (words inserted, deleted or replaced).
   greatest edit distance is measured in the tests.
 * Pairs with an equal key are verified by the exact edit distance of the whole
   item to the best stretch around the window.
+* 20 % of fewer than ``MIN_WORDS`` words is no edit, so shorter items are looked
+  up exactly.  Equal items are one entry of the index.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase, punctuation
@@ -34,7 +39,7 @@ from .common import byte_texts, offsets, portions, prepare
 
 EDITS = 0.2
 WALKS, TABLES, SAMPLED = 8, 4, 4
-#: Shorter items are no evidence, and match nothing.
+#: Shorter items are found without edits only, and are no reason to drop a document unless it is nothing else.
 MIN_WORDS = 5
 #: Ratio of a size class's longest to its shortest window.
 CLASS = 1.15
@@ -43,11 +48,18 @@ ITEM_BYTES = 16 << 20
 
 _FOLD = bytes.maketrans((ascii_uppercase + punctuation).encode(), (ascii_lowercase + " " * len(punctuation)).encode())
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: UTF-8 of characters of scripts that are written without spaces. Fixed values.
+_SOLID = re.compile(
+    rb"\xe0[\xb8-\xbb].|\xe1[\x80-\x82\x9e\x9f].|\xe3[\x80-\x83\x90-\xbf].|[\xe4-\xe9]..|\xf0[\xa0-\xb2]..", re.DOTALL
+)
 
 
 def symbols(text: bytes) -> np.ndarray:
     """The words of a text as 32-bit numbers other than 0."""
-    words = text.translate(_FOLD).split()
+    text = text.translate(_FOLD)
+    if not text.isascii():
+        text = _SOLID.sub(rb" \g<0> ", text)
+    words = text.split()
     found = np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words))
     return np.maximum(found, 1)
 
@@ -60,6 +72,15 @@ def pair_codes(s: np.ndarray) -> np.ndarray:
     return (a * _ODD) ^ (b * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+def run_codes(s: np.ndarray, n: int) -> np.ndarray:
+    """A number for each ``n`` neighbouring words."""
+    out = np.zeros(max(len(s) - n + 1, 0), dtype=np.uint64)
+    for j in range(n):
+        out = (out + s[j : j + len(out)].astype(np.uint64) + np.uint64(1)) * _ODD
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def best_distance(pattern: np.ndarray, text: np.ndarray) -> int:
     """Least edit distance of ``pattern`` to any stretch of ``text`` (Myers' bit vectors)."""
     m = len(pattern)
@@ -86,22 +107,35 @@ class Finder:
     """Items of a benchmark, indexed for windows of their sizes."""
 
     def __init__(self, items: list[tuple[int, bytes]], seed: int = 11):
-        known = [(i, s) for i, t in items if len(s := symbols(t)) >= MIN_WORDS]
-        self.ids = [i for i, _ in known]
-        self.items = [s for _, s in known]
+        same: dict[bytes, list[int]] = {}
+        for i, t in items:
+            if len(s := symbols(t)):
+                same.setdefault(s.tobytes(), []).append(i)
+        self.all_ids = list(same.values())
+        self.ids = [i[0] for i in self.all_ids]
+        self.items = [np.frombuffer(s, dtype=np.uint32) for s in same]
         self.edits = [int(EDITS * len(s)) for s in self.items]
         rng = np.random.default_rng(seed)
-        self.pairs = np.unique(np.concatenate([pair_codes(s) for s in self.items] or [np.zeros(0, np.uint64)]))
+        long = [k for k, s in enumerate(self.items) if len(s) >= MIN_WORDS]
+        self.pairs = np.unique(np.concatenate([pair_codes(self.items[k]) for k in long] or [np.zeros(0, np.uint64)]))
         self.seen = np.zeros(1 << 22, dtype=bool)
         self.seen[(self.pairs >> np.uint64(42)).astype(np.int64)] = True
         classes: dict[int, list[int]] = {}
         size, sizes = float(MIN_WORDS), [MIN_WORDS]
-        most = max((len(s) for s in self.items), default=0)
+        most = max((len(self.items[k]) for k in long), default=0)
         while size <= most:
             size = max(size + 1, size * CLASS)
             sizes.append(int(size))
-        for k, s in enumerate(self.items):
-            classes.setdefault(max(n for n in sizes if n <= len(s)), []).append(k)
+        for k in long:
+            classes.setdefault(max(n for n in sizes if n <= len(self.items[k])), []).append(k)
+        # Of items below MIN_WORDS, by their number of words: sorted codes and the items.
+        self.short = []
+        for n in range(1, MIN_WORDS):
+            members = np.array([k for k, s in enumerate(self.items) if len(s) == n], dtype=np.int64)
+            codes = np.array([run_codes(self.items[k], n)[0] for k in members], dtype=np.uint64)
+            if len(members):
+                order = np.argsort(codes, kind="stable")
+                self.short.append((n, codes[order], members[order]))
         # A class: window size, pairs that a match keeps, step multipliers, sampled places, sorted keys and their items.
         self.classes = []
         for n, members in sorted(classes.items()):
@@ -143,6 +177,9 @@ class Finder:
             # A 0 between texts pairs with nothing, and no window with it can keep enough pairs unless it is a match.
             flat = np.concatenate([np.append(p, np.uint32(0)) for p in parts])
             bounds = offsets([len(p) + 1 for p in parts])
+            self._exact(flat, bounds, out, begin)
+            if not self.classes:
+                continue
             codes = pair_codes(flat)
             hit = self.seen[(codes >> np.uint64(42)).astype(np.int64)]
             at = np.flatnonzero(hit)
@@ -166,6 +203,28 @@ class Finder:
                     self._verify(sorted(pairs), flat, bounds, out, begin)
         return out
 
+    def _exact(self, flat, bounds, out, begin) -> None:
+        """Adds the short items, at the first word where each begins."""
+        for n, keys, members in self.short:
+            codes = run_codes(flat, n)
+            place = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+            for at in np.flatnonzero(keys[place] == codes).tolist():
+                # Different items share a code hardly ever, but may.
+                for i in range(int(place[at]), len(keys)):
+                    if keys[i] != codes[at]:
+                        break
+                    k = int(members[i])
+                    d = int(np.searchsorted(bounds, at, side="right")) - 1
+                    if k not in out[begin + d] and np.array_equal(flat[at : at + n], self.items[k]):
+                        out[begin + d][k] = (0, at - int(bounds[d]))
+
+    def tainted(self, texts: list[bytes]) -> list[bool]:
+        """For each text, whether it holds an item of ``MIN_WORDS`` words or more, or is a shorter one and nothing else."""
+        return [
+            any(len(self.items[k]) >= MIN_WORDS or np.array_equal(symbols(t), self.items[k]) for k in held)
+            for t, held in zip(texts, self.find(texts))
+        ]
+
     def _verify(self, pairs, flat, bounds, out, begin) -> None:
         for start, k in pairs:
             d = int(np.searchsorted(bounds, start, side="right")) - 1
@@ -197,8 +256,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``edits`` is the least word edit distance found, ``similarity`` 1 less its
     share of the item's words, ``word_at`` the word of the document where the
     window begins that found it.  A null or empty text holds nothing; items of
-    fewer than ``MIN_WORDS`` words or of null text are held by nothing; equal
-    items are found each.  A repeated doc_id gives rows each time; other columns
+    fewer than ``MIN_WORDS`` words are held where they stand without an edit;
+    items without a word or of null text are held by nothing; equal items are
+    found each.  A repeated doc_id gives rows each time; other columns
     are ignored; empty tables give no row.
     """
     import pyarrow as pa
@@ -217,8 +277,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
                 held = finder.find(byte_texts(batch.column(1)))
                 docs = batch.column(0).to_pylist()
                 found = [
-                    (docs[i], finder.ids[k], e, len(finder.items[k]), 1 - e / len(finder.items[k]), p)
-                    for i, h in enumerate(held) for k, (e, p) in sorted(h.items())
+                    (docs[i], item, e, len(finder.items[k]), 1 - e / len(finder.items[k]), p)
+                    for i, h in enumerate(held) for k, (e, p) in sorted(h.items()) for item in finder.all_ids[k]
                 ]
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
                 columns = list(zip(*found)) or [()] * 6
@@ -233,7 +293,10 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, all columns kept."""
+    """The rows of ``docs`` that hold no item of ``MIN_WORDS`` words or more and aren't a shorter one as a whole.
+
+    All columns are kept, and rows of null text, which hold nothing.
+    """
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -244,8 +307,8 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                held = shared.value.find(byte_texts(batch.column(at)))
-                yield batch.filter(pa.array([not h for h in held], pa.bool_()))
+                tainted = shared.value.tainted(byte_texts(batch.column(at)))
+                yield batch.filter(pa.array([not x for x in tainted], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -90,6 +90,33 @@ def test_against_brute_force(spark):
     assert decontam.contaminated(docs(spark, []), table).count() == 0
 
 
+def test_short_and_unspaced_items(spark):
+    solid = "\u5929\u7a7a\u662f\u84dd\u8272\u7684\u800c\u8349\u662f\u7eff\u8272\u7684"
+    items = [(1, "Yes!"), (2, "blue sky"), (3, "one two three four"), (4, solid), (5, "blue SKY."), (6, "..."), (7, "a b c d e f"), (8, "a b c d e f")]
+    rows = [
+        (0, "yes"), (1, "oh yes, it is"), (2, "under a Blue, sky blue sky"), (3, "blue. Sky"), (4, "one two three"), (5, "one two x three four"),
+        (6, "\u56e0\u4e3a" + solid + "\u3002"), (7, "x " + solid[:5] + "\u9ec4" + solid[6:] + " y"), (8, solid[:6]), (9, "0 a b c d e f 0"), (10, None), (11, ""),
+        (12, "one two three four and more"), (13, "blue"), (14, "sky"),
+    ]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    every = decontam.contaminated(docs(spark, rows), table).collect()
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in every} == {
+        (0, 1): 0, (1, 1): 0, (2, 2): 0, (2, 5): 0, (3, 2): 0, (3, 5): 0, (6, 4): 0, (7, 4): 1, (9, 7): 0, (9, 8): 0, (12, 3): 0,
+    }
+    # Of a short item the place is the item's own; of a longer one that of the window that found it.
+    assert {(r["doc_id"], r["word_at"]) for r in every if r["item_words"] < 5} == {(0, 0), (1, 1), (2, 2), (3, 0), (12, 0)}
+    # A short item is a reason to drop what is nothing else.
+    assert {r["doc_id"] for r in decontam.clean(docs(spark, rows), table).collect()} == {d for d, _ in rows} - {0, 3, 6, 7, 9}
+
+
+def test_many_equal_items():
+    item = b"the same question is asked again and again by all of them"
+    finder = decontam.Finder([(i, item) for i in range(5000)])
+    assert len(finder.items) == 1 and len(finder.all_ids[0]) == 5000
+    held, none = finder.find([b"so " + item + b" here", b"nothing"])
+    assert {k: e for k, (e, _) in held.items()} == {0: 0} and none == {}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site name</h1></header>
 <nav><ul><li><a href=1>Home</a><li><a href=2>More</a></ul></nav>%s
 <div class="sidebar"><p>Side text that is rather long, to be as dense as an article might be.</p></div>
