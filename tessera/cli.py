@@ -3,6 +3,7 @@
     python -m tessera.cli to-spl IN OUT
     python -m tessera.cli to-text IN OUT
     python -m tessera.cli evaluate SYSTEMS MODELS --system-pattern 'S\\.(\\d+)\\.txt' --model-pattern 'M\\.[A-D]\\.#ID#\\.txt'
+    python -m tessera.cli report FOLDER MODELS --system-pattern ... --model-pattern ...
     python -m tessera.cli config SYSTEMS MODELS OUT --system-pattern ... --model-pattern ...
 """
 
@@ -35,6 +36,22 @@ def evaluate(spark: SparkSession, args) -> list[tuple]:
     return rows
 
 
+def report(spark: SparkSession, args) -> list[tuple]:
+    """ROUGE-1 of every folder below ``systems``: a system each, all scored in one pass."""
+    text = texts.from_spl_html(F.col("content")) if args.spl else F.col("content")
+    found = spark.read.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(args.systems)
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    found = found.select(folder.alias("system_id"), F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+    side = found.select("system_id", "name", text.alias("text")).withColumn("file", F.col("name"))
+    models = read_files(spark, args.models).select("file", text.alias("text"))
+    pairs = rouge.pair_up(side, models, args.system_pattern, args.model_pattern, keep=("system_id",))
+    pairs = pairs.select(F.struct("system_id", "id").alias("id"), F.col("model_file").alias("model_id"), "system", "model")
+    options = rouge.PROJECT if args.project else rouge.DEFAULT
+    _, scores = next(rouge.evaluate(pairs, options))
+    rows = rouge.by_system(scores.select(F.col("id.system_id").alias("system_id"), "recall", "precision", "f_score")).orderBy("system_id").collect()
+    return [(r["system_id"], r["precision"], r["recall"], r["f_score"]) for r in rows]
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="tessera")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -42,7 +59,7 @@ def main(argv: list[str] | None = None) -> None:
         c = commands.add_parser(name)
         c.add_argument("source")
         c.add_argument("target")
-    for name in ("evaluate", "config"):
+    for name in ("evaluate", "config", "report"):
         c = commands.add_parser(name)
         c.add_argument("systems")
         c.add_argument("models")
@@ -61,6 +78,9 @@ def main(argv: list[str] | None = None) -> None:
     elif args.command == "evaluate":
         for row in evaluate(spark, args):
             print("%-12s R %.3f P %.3f F %.3f" % row)
+    elif args.command == "report":
+        for row in report(spark, args):
+            print("%s\n[prec]: %.1f%% [rec]: %.1f%% [fscore]: %.1f%%" % row)
     else:
         pairs = _pairs(spark, args).select(F.col("id").alias("doc_id"), F.col("system_file").alias("system"), F.col("model_file").alias("model"))
         texts.write_lines(texts.rouge_config(pairs, args.models, args.systems), args.target)

@@ -302,6 +302,31 @@ def augmented(gain, selected, cost):
     return gain + F.when(selected, -F.lit(float(cost))).otherwise(F.lit(float(cost)))
 
 
+def positive_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(doc, n_nodes, n_edges)``: nodes and edges of ``decode``'s input whose gain is above 0."""
+    n = nodes.select("doc", F.col("gain").alias("n"), F.lit(None).cast("double").alias("e"))
+    e = edges.select("doc", F.lit(None).cast("double").alias("n"), F.col("gain").alias("e"))
+    return n.unionByName(e).groupBy("doc").agg(F.count_if(F.col("n") > 0).alias("n_nodes"), F.count_if(F.col("e") > 0).alias("n_edges"))
+
+
+def report_lines(solutions: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(doc, part, ord, value)``: lines that tell of each document's decoding, in order of part and ord.
+
+    Part 0 is the objective and whether it is proven best, 1 the gain of every node,
+    2 of every edge, 3 the chosen nodes, 4 the chosen edges.
+    """
+    at = lambda part, ord, value: ("doc", F.lit(part).alias("part"), ord.cast("string").alias("ord"), value.alias("value"))
+    by_text = F.col("doc").cast("string").alias("doc")
+    place = F.format_string("%010d", F.col("node_id"))
+    ends = F.format_string("%010d %010d", F.col("src"), F.col("dst"))
+    head = solutions.select(*at(0, F.lit(""), F.format_string("[ObjVal]: %f [optimal]: %s", F.col("objective"), F.col("optimal").cast("string"))))
+    n = nodes.withColumn("doc", by_text).select(*at(1, place, F.format_string("%d\t%f", F.col("node_id"), F.col("gain").cast("double"))))
+    e = edges.withColumn("doc", by_text).select(*at(2, ends, F.format_string("%d %d\t%f", F.col("src"), F.col("dst"), F.col("gain").cast("double"))))
+    chosen_n = solutions.select("doc", F.explode("nodes").alias("node_id")).select(*at(3, place, F.format_string("node %d", F.col("node_id"))))
+    chosen_e = solutions.select("doc", F.explode("edges").alias("x")).select("doc", "x.*").select(*at(4, ends, F.format_string("edge %d %d", F.col("src"), F.col("dst"))))
+    return head.unionByName(n).unionByName(e).unionByName(chosen_n).unionByName(chosen_e)
+
+
 RESULT = "doc string, status string, objective double, optimal boolean, nodes array<int>, edges array<struct<src:int,dst:int>>"
 
 

@@ -141,6 +141,12 @@ def over_models(scores: DataFrame, best: bool = False) -> DataFrame:
     return scores.groupBy("id").agg(*[F.avg(c).alias(c) for c in ("recall", "precision", "f_score")])
 
 
+def by_system(scores: DataFrame) -> DataFrame:
+    """``(system_id, n, recall, precision, f_score)``: each system's means in percent, of ``over_models`` rows with a system_id."""
+    means = [(F.avg(c) * 100).alias(c) for c in ("recall", "precision", "f_score")]
+    return scores.groupBy("system_id").agg(F.count("*").alias("n"), *means)
+
+
 def bootstrap(scores: DataFrame, samples: int = 1000, confidence: float = 0.95, seed: int = 1) -> DataFrame:
     """``(measure, value, cb, ce)``: means over all rows with a percentile interval.
 
@@ -165,8 +171,8 @@ def bootstrap(scores: DataFrame, samples: int = 1000, confidence: float = 0.95,
     return out
 
 
-def pair_up(systems: DataFrame, models: DataFrame, system_pattern: str, model_pattern: str) -> DataFrame:
-    """``(id, system_file, model_file, system, model)`` of ``(file, text)`` tables.
+def pair_up(systems: DataFrame, models: DataFrame, system_pattern: str, model_pattern: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, system_file, model_file, system, model)`` of ``(file, text)`` tables, and the systems' columns ``keep``.
 
     The first group of ``system_pattern`` is the document's id; ``#ID#`` in
     ``model_pattern`` stands for it.  Patterns match from the name's beginning.
@@ -176,7 +182,7 @@ def pair_up(systems: DataFrame, models: DataFrame, system_pattern: str, model_pa
     pattern = "(.+?)".join(f"(?:{p})" for p in parts)
     s = systems.withColumn("id", F.regexp_extract("file", f"^(?:{system_pattern})", 1)).where(F.col("file").rlike(f"^(?:{system_pattern})"))
     m = models.where(F.col("file").rlike(f"^(?:{pattern})$")).withColumn("id", F.regexp_extract("file", f"^(?:{pattern})$", 1))
-    both = s.select("id", F.col("file").alias("system_file"), F.col("text").alias("system")).join(
+    both = s.select("id", *keep, F.col("file").alias("system_file"), F.col("text").alias("system")).join(
         m.select("id", F.col("file").alias("model_file"), F.col("text").alias("model")), "id", "left"
     )
     lost = F.raise_error(F.concat(F.lit("no model for "), F.col("system_file"))).cast("string")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fc
 from ..operators import coverage, decode, docgraph, edgefilter, features, learn, metrics, rouge, vectors
-from ..sources import texts
+from ..sources import jamr, texts
 from .lexical import SQL, Lexical, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -693,6 +693,81 @@ def lr_edge_filter(spark, sf):
     return metrics.confusion(judged, "label", "predicted").select("tp", "fp", "fn", "tn", *[rounded(c, c) for c in ("prec", "rec", "fscore")])
 
 
+@query(
+    "percept_index",
+    """, f AS (SELECT topic, least(c1, c2) AS end1, greatest(c1, c2) AS end2, min_by({'a': c1, 'b': c2, 'r': relation}, doc::HUGEINT * 1000000000000 + line_num::HUGEINT * 1000000 + ord) AS e FROM edge WHERE line_num > 0 GROUP BY ALL),
+  p AS (SELECT unnest([{'t': 'relation', 'v': e.r}, {'t': 'dep_node1', 'v': '1'}, {'t': 'dep_node2', 'v': '2'}, {'t': 'verb_node1', 'v': '0'}, {'t': 'verb_node2', 'v': '0'}, {'t': 'concept1', 'v': e.a}, {'t': 'concept2', 'v': e.b}]) AS x FROM f),
+  t AS (SELECT x.t AS template, x.v AS value, count(*)::BIGINT AS cnt FROM p GROUP BY ALL)
+  SELECT row_number() OVER (ORDER BY substr(md5(template || '=' || value), 1, 3), template, value) - 1 AS feat_id, template, value, cnt FROM t""",
+)
+def percept_index(spark, sf):
+    g = Lexical(spark, sf)
+    edges = coverage.label_edges(g.body_edges.withColumnRenamed("doc", "file"), g.summary_edges).select(
+        F.xxhash64("topic", "c1", "c2").alias("edge_id"), F.col("c1").alias("concept1"), F.col("c2").alias("concept2"), "relation", F.lit("0").alias("g1"), F.lit("0.0").alias("g2"),
+    )
+    return edgefilter.numbered(edgefilter.percepts(edges))
+
+
+@query(
+    "triple_unique_share",
+    "SELECT topic, count(*)::BIGINT AS n_total, count(DISTINCT (c1, relation, c2))::BIGINT AS n_unique, round(count(DISTINCT (c1, relation, c2)) / count(*), 6) AS unique_share FROM edge WHERE line_num = 0 GROUP BY topic",
+)
+def triple_unique_share(spark, sf):
+    out = coverage.unique_share(Lexical(spark, sf).summary_edges.withColumnRenamed("relation", "rel"))
+    return out.select("topic", "n_total", "n_unique", rounded("unique_share", "unique_share"))
+
+
+@query(
+    "positive_gains",
+    """, n AS (SELECT doc, count(*) FILTER (k > 2) AS a, 0 AS b FROM (SELECT doc, concept, count(*) AS k FROM mention GROUP BY ALL) GROUP BY doc),
+  e AS (SELECT doc, 0 AS a, count(*) FILTER (k > 1) AS b FROM (SELECT doc, c1, c2, count(*) AS k FROM edge GROUP BY ALL) GROUP BY doc)
+  SELECT doc, sum(a)::BIGINT AS n_nodes, sum(b)::BIGINT AS n_edges FROM (SELECT * FROM n UNION ALL SELECT * FROM e) GROUP BY doc""",
+)
+def positive_gains(spark, sf):
+    """Gains grow with the number of mentions."""
+    g = Lexical(spark, sf)
+    nodes = docgraph.merge_nodes(g.nodes, sources=False).select("doc", (F.col("n_sources") - 2.0).alias("gain"))
+    edges = docgraph.merge_edges(g.edges, sources=False).select("doc", (F.col("n_sources") - 1.0).alias("gain"))
+    return decode.positive_counts(nodes, edges)
+
+
+@query(
+    "coverage_report",
+    """, u AS (SELECT DISTINCT line_num = 0 AS s, topic, c1, c2 FROM edge),
+  j AS (SELECT a.topic IS NOT NULL AS l, b.topic IS NOT NULL AS r FROM (SELECT * FROM u WHERE NOT s) a FULL JOIN (SELECT * FROM u WHERE s) b ON a.topic = b.topic AND a.c1 = b.c1 AND a.c2 = b.c2),
+  c AS (SELECT count(*) FILTER (l) AS a, count(*) FILTER (r) AS b, count(*) FILTER (l AND r) AS n FROM j)
+  SELECT unnest(['total_docs_edges: ' || a, 'covered_docs_edges: ' || n || ' (' || coalesce(n * 100 // nullif(a, 0), 0) || '%)', 'total_models_edges: ' || b, 'covered_models_edges: ' || n || ' (' || coalesce(n * 100 // nullif(b, 0), 0) || '%)']) AS value FROM c""",
+)
+def coverage_report(spark, sf):
+    """Edges are compared by an ordered key, as the caller may choose."""
+    g = Lexical(spark, sf)
+    keyed = lambda e: jamr.with_key(e.select("topic", F.col("c1").alias("concept1"), "relation", F.col("c2").alias("concept2")), jamr.ordered_key)
+    return coverage.edge_micro_lines(coverage.edge_micro(keyed(g.body_edges), keyed(g.summary_edges), ["topic", "key"]))
+
+
+@query(
+    "rouge_by_system",
+    r"""WITH d AS (SELECT doc_id, coalesce(source, '') AS system_id, text, regexp_extract(text, '^[^.!?\n]*') AS a FROM documents WHERE text IS NOT NULL),
+  w AS (SELECT doc_id, system_id, regexp_extract_all(lower(a), '[a-z0-9]+') AS m, regexp_extract_all(lower(substr(text, length(a) + 2)), '[a-z0-9]+') AS s FROM d),
+  cs AS (SELECT doc_id, u, count(*) AS n FROM (SELECT doc_id, unnest(s) AS u FROM w) GROUP BY ALL), cm AS (SELECT doc_id, u, count(*) AS n FROM (SELECT doc_id, unnest(m) AS u FROM w) GROUP BY ALL),
+  h AS (SELECT doc_id, sum(least(cs.n, cm.n)) AS h FROM cs JOIN cm USING (doc_id, u) GROUP BY doc_id),
+  x AS (SELECT system_id, coalesce(h / nullif(len(m), 0), 0) AS r, coalesce(h / nullif(len(s), 0), 0) AS p FROM w LEFT JOIN h USING (doc_id))
+  SELECT system_id, count(*)::BIGINT AS n, round(100 * avg(r), 6) AS recall, round(100 * avg(p), 6) AS precision, round(100 * avg(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 6) AS f_score FROM x GROUP BY system_id""",
+    lexical=False,
+)
+def rouge_by_system(spark, sf):
+    """Each source is a system: a document's sentences after the first against its first, by ROUGE-1."""
+    docs = table(spark, sf, "documents").where("text is not null")
+    parts = F.split("text", r"[.!?\n]", 2)
+    pairs = docs.select(
+        F.struct(F.coalesce("source", F.lit("")).alias("system_id"), "doc_id").alias("id"), F.lit("first").alias("model_id"),
+        F.coalesce(F.get(parts, 1), F.lit("")).alias("system"), F.get(parts, 0).alias("model"),
+    )
+    scores = rouge.over_models(rouge.rouge_n(pairs, 1))
+    out = rouge.by_system(scores.select(F.col("id.system_id").alias("system_id"), "recall", "precision", "f_score"))
+    return out.select("system_id", "n", *[rounded(c, c) for c in ("recall", "precision", "f_score")])
+
+
 # The relational tables.
 
 

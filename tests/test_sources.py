@@ -1,8 +1,11 @@
 """Block files, relation files, text formats, streams."""
 
+import argparse
+
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import cli
 from tessera.functions import columns as fc
 from tessera.operators import coverage, edgefilter, metrics, rouge, vectors
 from tessera.sources import blocks, jamr, texts
@@ -170,3 +173,25 @@ def test_write_summaries(spark, tmp_path):
     rows = spark.createDataFrame([("d1", "system", "a b"), ("d1", "oracle", "a")], "doc string, kind string, summary string")
     texts.write_summaries(rows, str(tmp_path / "s"))
     assert [p.read_text() for p in (tmp_path / "s" / "doc=d1" / "kind=system").glob("part*")] == ["a b\n"]
+
+
+def test_missing_folder_is_empty(spark, tmp_path):
+    assert blocks.read_folder(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "a-1.txt").write_text("x")
+    assert [tuple(r) for r in blocks.read_folder(spark, str(tmp_path)).collect()] == [("a-1.txt", "x")]
+
+
+def test_edge_keys(spark):
+    rows = spark.createDataFrame([("b", "r", "a"), ("a", "r", "b"), ("a", "q", "b")], "concept1 string, relation string, concept2 string")
+    different = [jamr.with_key(rows, k).select("key").distinct().count() for k in (jamr.exact_key, jamr.ordered_key, jamr.unordered_key)]
+    assert different == [3, 2, 1]
+
+
+def test_report_of_systems(spark, tmp_path):
+    for system, text in (("one", "a b c d"), ("two", "a b x y")):
+        (tmp_path / "s" / system).mkdir(parents=True)
+        (tmp_path / "s" / system / "S.1.txt").write_text(text)
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "M.A.1.txt").write_text("a b c d")
+    args = argparse.Namespace(systems=str(tmp_path / "s"), models=str(tmp_path / "m"), system_pattern=r"S\.(\d+)\.txt", model_pattern=r"M\.[A-D]\.#ID#\.txt", spl=False, project=False)
+    assert cli.report(spark, args) == [("one", 100.0, 100.0, 100.0), ("two", 50.0, 50.0, 50.0)]
