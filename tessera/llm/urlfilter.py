@@ -19,7 +19,7 @@ import math
 from dataclasses import dataclass
 from string import ascii_lowercase, ascii_uppercase, digits
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, settle
@@ -135,26 +135,30 @@ def allowed(tree: int) -> tuple[str, ...]:
 
 
 class UrlModel:
-    """Suffix rates, bin edges and trees; ``probability`` is that a url is to be blocked."""
+    """Suffix sums, bin edges and trees; ``probability`` is that a url is to be blocked.
 
-    def __init__(self, rates: dict[str, DataFrame], base: float, edges: dict[str, list[float]], trees: list, start: float):
+    ``rates(kind, key, fold, n, s, all_n, all_s)`` holds labelled and blocked urls of each key, in the fold and in all.
+    """
+
+    def __init__(self, rates: DataFrame, base: float, edges: dict[str, list[float]], trees: list, start: float):
         self.rates, self.base, self.edges, self.trees, self.start = rates, base, edges, trees, start
 
     def featured(self, urls: DataFrame, fold: Column | None = None) -> DataFrame:
         """``urls`` (with __host, __path, __url) with a column for every feature; rates without the hosts of ``fold``."""
         urls = urls.withColumn("__fold", F.lit(-1) if fold is None else fold)
         for name, col in suffix_keys(F.col("__host"), F.col("__path")).items():
-            sums = self.rates[name]
-            whole = sums.groupBy(F.col("key").alias("__key")).agg(F.sum("n").alias("__n"), F.sum("s").alias("__s"))
-            urls = urls.withColumn("__key", col).join(whole, "__key", "left")
-            n, s = F.coalesce("__n", F.lit(0)), F.coalesce("__s", F.lit(0.0))
-            if fold is not None:
-                own = sums.select(F.col("key").alias("__key"), F.col("fold").alias("__fold"), F.col("n").alias("__m"), F.col("s").alias("__t"))
-                urls = urls.join(own, ["__key", "__fold"], "left")
-                n, s = n - F.coalesce("__m", F.lit(0)), s - F.coalesce("__t", F.lit(0.0))
-            rate = (s + PRIOR * self.base) / (n + PRIOR)
+            sums = self.rates.where(F.col("kind") == name)
+            urls = urls.withColumn("__key", col)
+            if fold is None:
+                whole = sums.groupBy(F.col("key").alias("__key")).agg(F.first("all_n").alias("__n"), F.first("all_s").alias("__s"))
+                urls = urls.join(whole, "__key", "left")
+            else:
+                # Every labelled url is counted in its key and fold, so none is without a partner.
+                others = sums.select(F.col("key").alias("__key"), F.col("fold").alias("__fold"), (F.col("all_n") - F.col("n")).alias("__n"), (F.col("all_s") - F.col("s")).alias("__s"))
+                urls = urls.join(others, ["__key", "__fold"], "left")
+            rate = (F.col("__s") + PRIOR * self.base) / (F.col("__n") + PRIOR)
             # Without a labelled url of its key a new url has no rate.
-            urls = urls.withColumn(f"rate_{name}", rate if fold is not None else F.when(n > 0, rate)).drop("__key", "__n", "__s", "__m", "__t")
+            urls = urls.withColumn(f"rate_{name}", rate).drop("__key", "__n", "__s")
         return urls.withColumns(lexical(F.col("__url"), F.col("__host"), F.col("__path")))
 
     def splits(self) -> dict[str, int]:
@@ -206,14 +210,16 @@ def train(labelled: DataFrame) -> UrlModel:
     n, s = total["n"], total["s"] or 0.0
     base = (s + 1) / (n + 2)
     fold = F.pmod(F.xxhash64("__host"), F.lit(FOLDS)).cast("int")
-    rates = {}
-    for name, col in suffix_keys(F.col("__host"), F.col("__path")).items():
-        rates[name] = settle(rows.groupBy(col.alias("key"), fold.alias("fold")).agg(F.count("*").alias("n"), F.sum("y").alias("s")))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in suffix_keys(F.col("__host"), F.col("__path")).items()])
+    sums = rows.select(fold.alias("fold"), "y", F.explode(kinds).alias("k")).groupBy("k.kind", "k.key", "fold").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+    of_key = Window.partitionBy("kind", "key")  # FOLDS rows at most
+    rates = settle(sums.withColumns({"all_n": F.sum("n").over(of_key), "all_s": F.sum("s").over(of_key)}))
     model = UrlModel(rates, base, {}, [], 0.0)
     model.start = math.log(base / (1 - base))
     if not n or s in (0.0, float(n)):
         return model
-    seen = model.featured(rows, fold)
+    # Written once: read for the bin edges and for the bins.
+    seen = settle(model.featured(rows, fold).select(*FEATURES, "y"))
     steps = [i / BINS for i in range(1, BINS)]
     cuts = seen.agg(*[F.percentile_approx(f, steps, 2000).alias(f) for f in FEATURES]).first()
     model.edges = {f: sorted(set(cuts[f])) for f in FEATURES}
@@ -221,6 +227,7 @@ def train(labelled: DataFrame) -> UrlModel:
     table = seen.select(*binned, "y").groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("y").alias("s"))
     # The margin so far is a column, written with every tree: expressions stay short, and a lost executor costs one tree.
     table = settle(table.withColumn("margin", F.lit(model.start)))
+    discard(seen)
     for i in range(TREES):
         tree = _grow(table, model, allowed(i))
         model.trees.append(tree)
@@ -228,6 +235,7 @@ def train(labelled: DataFrame) -> UrlModel:
             new = settle(table.withColumn("margin", F.col("margin") + _in_bins(tree, model.edges)))
             discard(table)
             table = new
+    discard(table)
     return model
 
 
