@@ -21,7 +21,7 @@ before any of this.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import byte_texts, prepare
 from .components import connected_components
+from .embdedup import spanning
 
 GROUPS = 6
 #: Fingerprints of one cell that a task compares in one piece.
@@ -283,8 +284,10 @@ def simhash_components(docs: DataFrame, k: int = 3, max_bits: int = 3) -> DataFr
 BANDS, BAND_ROWS = 20, 5
 #: Ids that are sent to all tasks at most; more are joined by a shuffle.
 SENT_IDS = 2_000_000
-#: Hubs of a bucket in the first round that goes on within it, about, and how many times as many in each later one.
-HUBS, MORE_HUBS = 8, 16
+#: Texts that are compared in one piece, and bytes of shingles of these; larger groups are dealt out in tiles.
+TEXTS, SET_BYTES = 2048, 8 << 20
+#: Shingles that are multiplied at a time, and pairs of rarer ones that are counted at a time.
+COLUMNS, PAIRS = 1024, 1 << 20
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -348,24 +351,102 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, shingles binary")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose shingle sets have a Jaccard similarity of ``least`` or more."""
+def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many elements each of the ``left`` places of ``sets`` shares with each of the ``right`` ones.
+
+    Elements of many sets are multiplied as columns of zeros and ones, the others
+    counted pair by pair, those of one set (what a set shares with itself) not at all.
+    """
+    n = len(sets)
+    row, column = np.full(n, -1), np.full(n, -1)
+    row[left], column[right] = np.arange(len(left)), np.arange(len(right))
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, element, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    often = np.cumsum((df > 1) & (df * 32 >= n))
+    some = (df > 1) & (df * 32 >= n)
+    for start in range(0, int(often[-1]), COLUMNS):
+        here = some[element] & (often[element] > start) & (often[element] <= start + COLUMNS)
+        ones = np.zeros((n, COLUMNS), dtype=np.float32)
+        ones[owner[here], often[element[here]] - 1 - start] = 1
+        out += ones[left] @ ones[right].T
+    rare = np.flatnonzero(((df > 1) & ~some)[element])
+    rare = rare[np.argsort(element[rare], kind="stable")]
+    a, b = rare[row[owner[rare]] >= 0], rare[column[owner[rare]] >= 0]
+    # Every posting on the left meets the postings of its element on the right, which are a range.
+    first, last = (np.searchsorted(element[b], element[a], side) for side in ("left", "right"))
+    many = last - first
+    ends = np.cumsum(many)
+    flat, done = out.reshape(-1), 0
+    while done < len(a):
+        until = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + PAIRS, "right")))
+        k = many[done:until]
+        other = np.repeat(first[done:until] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        at, times = np.unique(np.repeat(row[owner[a[done:until]]], k) * len(right) + column[owner[b[other]]], return_counts=True)
+        flat[at] += times
+        done = until
+    return out
+
+
+def set_links(sets: list[np.ndarray], side: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of a spanning forest of the pairs with a Jaccard similarity of ``least`` or more.
+
+    ``side`` 1 and 2 are compared across only, all of side 0 with each other.
+    """
+    left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
+    if len(sets) < 2 or not len(left) or not len(right):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    size = np.array([len(x) for x in sets], dtype=np.float64)
+    both = shared_counts(sets, left, right)
+    x, y = [], []
+    for start in range(0, len(left), 256):
+        rows, part = left[start : start + 256], both[start : start + 256].astype(np.float64)
+        near = part >= least * (size[rows, None] + size[None, right] - part)
+        if not side.any():
+            near &= rows[:, None] < right[None, :]
+        i, j = np.nonzero(near)
+        x.append(rows[i]), y.append(right[j])
+    x, y = np.concatenate(x), np.concatenate(y)
+    tree = spanning(x, y, len(sets))
+    return x[tree], y[tree]
+
+
+def _similar(homes: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``: links that span the components of each home of ``homes(home, id, shingles)``.
+
+    Two ids of one home link if their shingle sets have a Jaccard similarity of
+    ``least`` or more.  A home is read by one task, one of over ``TEXTS`` texts or
+    ``SET_BYTES`` in tiles (pairs of blocks), so rows grow with texts and not with pairs.
+    """
     import pyarrow as pa
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                low, high = sorted((len(x), len(y)))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if low >= least * high else 0
-                keep.append(both >= least * (len(x) + len(y) - both))
-            ends = pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"])
-            yield ends.filter(pa.array(keep, pa.bool_()))
+    large = homes.groupBy("home").agg(*_blocks()).where(F.col("blocks") > 1)
+    block = F.coalesce(F.pmod(F.xxhash64("id", F.lit("tile")), F.col("blocks")), F.lit(0)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("y")
+    dealt = (
+        homes.join(large, "home", "left").select("home", "id", "shingles", block.alias("x"), other)
+        .select(
+            "home", "id", "shingles", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"),
+            F.when(F.col("x") < F.col("y"), 1).when(F.col("x") > F.col("y"), 2).otherwise(0).cast("int").alias("side"),
+        )
+    )
+
+    def run(table):
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("shingles")]
+        x, y = set_links(sets, side, least)
+        return pa.table({"a": pa.array(ids[x], pa.int64()), "b": pa.array(ids[y], pa.int64())})
 
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    # Of a tile (i, j) the block i has side 1 and j side 2; of (i, i) all have side 0.
+    return dealt.groupBy("home", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _blocks() -> list:
+    """Aggregates of (id, shingles) rows: their number, and the blocks that a home of them is dealt into."""
+    n, size = F.count("*"), F.sum(F.length("shingles"))
+    whole = (n <= TEXTS) & (size <= SET_BYTES)
+    halves = F.greatest(F.ceil(n / (TEXTS // 2)), F.ceil(size / (SET_BYTES // 2)))
+    return [n.alias("n"), F.when(whole, 1).otherwise(halves).cast("int").alias("blocks")]
 
 
 def sent(ids: DataFrame) -> DataFrame:
@@ -373,37 +454,25 @@ def sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
 
 
-def _rounds(members: DataFrame, links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``links`` with those that join the rest of each bucket of ``members(id, bucket, n)``.
+def _homes(groups: DataFrame, sets: DataFrame, members: Callable[[], DataFrame]) -> DataFrame:
+    """``(home, id, shingles)``: each text once with its group of ``groups(id, home)``.
 
-    A round takes hubs in the buckets whose members aren't one component yet and
-    compares them with all members of other components; hubs multiply from round to
-    round until every member was one.  So each pair that shares a bucket is compared,
-    or joined without.
+    A group of several blocks whose buckets (of ``members``: id, bucket) are read with
+    fewer copies of its texts is parted into these, so a long chain of candidates isn't
+    compared end to end.
     """
-    from .common import discard, settle
-
-    place = F.pmod(F.xxhash64("id", F.lit("hub")), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("n")
-    done, hubs = 0, HUBS
-    while True:
-        labels = connected_components(links)
-        now = settle(
-            members.join(labels.withColumnRenamed("node", "id"), "id", "left")
-            .select("id", "bucket", F.coalesce("component", "id").alias("of"), place.alias("place"), "n")
-        )
-        parted = now.groupBy("bucket").agg(F.min("of").alias("x"), F.max("of").alias("y"), F.max("n").alias("most")).where((F.col("x") != F.col("y")) & (F.col("most") > done))
-        parted = settle(parted.select("bucket", "most"))
-        most = parted.agg(F.max("most")).first()[0]
-        if most is None:
-            discard(now, parted)
-            return links
-        now_open = now.join(parted.select("bucket"), "bucket")
-        ends = now_open.where((F.col("place") >= done) & (F.col("place") < hubs)).select("bucket", F.col("id").alias("hub"), F.col("of").alias("of_hub"))
-        pairs = now_open.join(ends, "bucket").where(F.col("of") != F.col("of_hub"))
-        pairs = settle(pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
-        links = settle(links.unionByName(_similar(pairs, sets, least)))
-        discard(now, parted, pairs)
-        done, hubs = hubs, hubs * MORE_HUBS
+    whole = groups.join(sets, "id").select("home", "id", "shingles")
+    large = sent(whole.groupBy("home").agg(*_blocks()).where(F.col("blocks") > 1))
+    if large.isEmpty():
+        return whole
+    inside = members().join(groups.join(large.select("home"), "home", "left_semi"), "id").join(sets, "id")
+    buckets = inside.groupBy("home", "bucket").agg(*_blocks()).where(F.col("n") > 1)
+    cheaper = (
+        buckets.groupBy("home").agg(F.sum(F.col("n") * F.col("blocks")).alias("copies")).join(large, "home")
+        .where(F.col("copies") < F.col("n") * F.col("blocks")).select("home")
+    )
+    kept = inside.join(buckets.select("home", "bucket"), ["home", "bucket"], "left_semi").join(cheaper, "home", "left_semi")
+    return whole.join(cheaper, "home", "left_anti").unionByName(kept.select(F.xxhash64("home", "bucket").alias("home"), "id", "shingles"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
@@ -414,11 +483,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bi
     exactly.  Candidates are the fingerprints that link at ``max_bits``, and, as
     these reach few pairs of a similarity near 0.8 (their fingerprints differ in
     about ten bits), pairs that share a band of min-hashes: 20 bands of 5 miss a
-    pair of similarity 0.8 once in 3000 times.  Of the members of a band each is
-    compared with the least one, first with the least over all its bands, and then
-    with the others where that hasn't joined them.  Where a band's members, or those
-    whose fingerprints link, are still apart, rounds with more hubs go on until each
-    pair was compared or is joined (``_rounds``).
+    pair of similarity 0.8 once in 3000 times.  What such candidates join, by chains
+    too, is a group, and all pairs of a group are compared in tasks that read its
+    texts once; of a large group those that share a bucket, where these need less
+    reading (``_homes``).
 
     A component is named by its smallest doc_id, which isn't listed itself; nor is
     a text without a word, or a null doc_id.  Rows of one doc_id count as one
@@ -434,7 +502,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bi
     firsts = classes.groupBy("fp").agg(F.min("id").alias("hub"))
     equal = classes.join(firsts, "fp").select(F.col("id").alias("a"), F.col("hub").alias("b"))
     links = settle(fingerprint_links(firsts.select("fp"), max_bits))
-    linked = connected_components(links).withColumnRenamed("node", "fp")
     near = links.join(firsts.select(F.col("fp").alias("a"), F.col("hub").alias("x")), "a").join(
         firsts.select(F.col("fp").alias("b"), F.col("hub").alias("y")), "b"
     ).select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -443,28 +510,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bi
     keys = classes.select("id", "bands", place).select("id", "band", F.substring("bands", F.col("band") * 8 + 1, F.lit(8)).alias("key"))
     hubs = keys.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where(F.col("n") > 1)
     banded = keys.join(hubs.drop("n"), ["band", "key"]).select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    kin = classes.select("id", "fp").join(linked, "fp", "left").select("id", F.xxhash64(F.coalesce("component", "fp")).alias("bucket"))
-    members = kin.unionByName(keys.select("id", F.xxhash64("band", "key").alias("bucket")))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    members = settle(members.join(shared, "bucket").select("id", "bucket", "n"))
-    pairs = settle(equal.unionByName(near).unionByName(banded).where(F.col("a") != F.col("b")).distinct())
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    pairs = equal.unionByName(near).unionByName(banded).where(F.col("a") != F.col("b"))
+    groups = settle(connected_components(pairs).select(F.col("node").alias("id"), F.col("component").alias("home")))
     prepare(docs.sparkSession)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sent(ends), "doc_id")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sent(groups.select(F.col("id").alias("doc_id"))), "doc_id")
     sets = settle(_sets(own, k).groupBy("id").agg(F.min("shingles").alias("shingles")))
-    first = settle(_similar(pairs.groupBy("a").agg(F.min("b").alias("b")), sets, similarity))
-    labels = settle(connected_components(first))
-    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-    apart = (
-        pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        .where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
-    )
-    more = settle(first.unionByName(_similar(apart, sets, similarity)))
-    labels = connected_components(_rounds(members, more, sets, similarity))
+
+    def members() -> DataFrame:
+        linked = connected_components(links).withColumnRenamed("node", "fp")
+        kin = classes.select("id", "fp").join(linked, "fp", "left").select("id", F.xxhash64(F.coalesce("component", "fp")).alias("bucket"))
+        return kin.unionByName(keys.select("id", F.xxhash64("band", "key").alias("bucket"))).distinct()
+
+    similar = settle(_similar(_homes(groups, sets, members), similarity))
+    labels = connected_components(similar)
     of_class = classes.join(labels.withColumnRenamed("node", "id"), "id", "left")
     out = profiles.join(of_class.select("class", F.coalesce("component", "id").alias("component_id")), "class")
     listed = settle(out.select("doc_id", "component_id").where(F.col("doc_id") != F.col("component_id")))
-    discard(profiles, classes, links, members, pairs, sets, first)
+    discard(profiles, classes, links, groups, sets, similar)
     return listed
 
 

@@ -161,3 +161,49 @@ def test_near_duplicates_of_a_template(spark):
     found = dict(map(tuple, simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
     assert np.median(shared) < 0.7 and len(wanted) > 100
     assert sum(found.get(i) == c for i, c in wanted.items()) >= 0.99 * len(wanted) and set(found) <= set(wanted)
+
+
+def test_shared_counts_equal_plain_ones(monkeypatch):
+    r = np.random.default_rng(4)
+    common = r.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[r.choice(common, 45), r.integers(0, 300, 12).astype(np.uint64)]) for _ in range(130)] + [np.zeros(0, dtype=np.uint64)]
+    monkeypatch.setattr(simhash, "PAIRS", 50)
+    monkeypatch.setattr(simhash, "COLUMNS", 16)
+    left, right = np.arange(0, 131, 2), np.arange(1, 131)
+    found = simhash.shared_counts(sets, left, right)
+    wanted = np.array([[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left])
+    assert (found == wanted)[left[:, None] != right[None, :]].all()
+
+
+@pytest.mark.parametrize("texts", [simhash.TEXTS, 128])
+def test_near_duplicates_of_a_family_make_few_rows(spark, monkeypatch, texts):
+    """400 near copies, many pairs below 0.8: joins make rows in proportion to the texts, in one piece and in tiles."""
+    monkeypatch.setattr(simhash, "TEXTS", texts)
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        words = [f"w{j}" for j in range(150)]
+        for j in r.sample(range(150), r.choice([1, 3, 5])):
+            words[j] = f"u{i}_{j}"
+        rows.append((i, " ".join(words)))
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsCount()
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    made = [0]
+    for i in range(seen, store.executionsCount()):
+        if store.execution(i).isDefined():
+            values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                if "Join" in node.name():
+                    metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                    got = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                    made += [int(v.get().replace(",", "")) for v in got if v.isDefined()]
+    sets = [set(simhash.shingle_hashes(t.encode(), 5).tolist()) for _, t in rows]
+    near = [[j for j in range(400) if len(a & sets[j]) >= 0.8 * len(a | sets[j])] for a in sets]
+    reached, todo = {0}, [0]
+    while todo:
+        fresh = set(near[todo.pop()]) - reached
+        reached |= fresh
+        todo += fresh
+    assert 200 < len(reached) < 400 and max(made) <= 20 * 400
+    assert {d for d, c in map(tuple, found) if c == 0} == reached - {0}
