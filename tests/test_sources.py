@@ -195,3 +195,10 @@ def test_report_of_systems(spark, tmp_path):
     (tmp_path / "m" / "M.A.1.txt").write_text("a b c d")
     args = argparse.Namespace(systems=str(tmp_path / "s"), models=str(tmp_path / "m"), system_pattern=r"S\.(\d+)\.txt", model_pattern=r"M\.[A-D]\.#ID#\.txt", spl=False, project=False)
     assert cli.report(spark, args) == [("one", 100.0, 100.0, 100.0), ("two", 50.0, 50.0, 50.0)]
+
+
+def test_pairs_of_a_block_need_no_join(spark):
+    rows = [("f", 0, 3, "c"), ("f", 0, 1, "a"), ("f", 0, 2, "b"), ("f", 1, 1, "d"), ("g", 0, 1, "a"), ("g", 0, 1, "b")]
+    pairs = jamr.cooccurring(spark.createDataFrame(rows, "file string, block int, first int, concept string"))
+    assert sorted((r["file"], r["block"], r["concept1"], r["concept2"]) for r in pairs.collect()) == [("f", 0, "a", "b"), ("f", 0, "a", "c"), ("f", 0, "b", "c")]
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
