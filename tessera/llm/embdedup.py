@@ -7,8 +7,9 @@ tile.  Tiles are sent the int8 codes of their points, made once.  In a tile:
 
 * the triangle inequality on angles rules it out whole where the pivots' angle
   less both radii exceeds the threshold's,
-* else the int8 codes of its unit vectors are multiplied (sums of products of
-  codes are exact in 32-bit floats up to ``EXACT_DIMS`` dimensions, wider
+* else one product in 32-bit floats finds the pairs that may link (a cut below the
+  threshold by the largest bound and the product's rounding), and the int8 codes of
+  these are multiplied (sums of products of codes are exact in 32-bit floats up to ``EXACT_DIMS`` dimensions, wider
   vectors are multiplied in slices).  With u = s c + e, where s is the scale, c
   the code and e the rounding error of a vector, |u.v - s t (c.d)| <=
   |e||v^| + |u^||f| + |e||f|, a bound that each vector's own norms give,
@@ -43,6 +44,8 @@ PIVOTS = 2048
 HEADS = 512
 #: 127 * 127 * 1024 < 2 ** 24
 EXACT_DIMS = 1024
+#: A stretch of which a DENSE-th may link is multiplied out.
+DENSE = 8
 #: Slack for the rounding of the bound's own arithmetic.
 SLACK = 1e-5
 
@@ -99,6 +102,41 @@ class Quantised:
         f, m = other.error[None, :].astype(np.float64), other.length[None, :].astype(np.float64)
         return dot, e * m + n * f + e * f
 
+    def candidates(self, other: "Quantised", rows: slice, first: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places, in ``rows`` and from ``first`` on in ``other``, of all pairs that the bounds could count as links or leave open.
+
+        One product in 32-bit floats; each row's cut takes the largest bound of its pairs and the product's own rounding off.
+        """
+        a, b = self.near()[rows], other.near()[first:]
+        if not len(b):
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        e, n = self.error[rows].astype(np.float64), self.length[rows].astype(np.float64)
+        f, m = float(other.error.max()), float(other.length.max())
+        cut = least - SLACK - (e * m + n * f + e * f) - (a.shape[1] + 8) * 2.0**-24 * n * m * 1.01
+        found = a @ b.T >= np.nextafter(cut.astype(np.float32), np.float32(-np.inf))[:, None]
+        at = np.flatnonzero(found) if found.any() else np.zeros(0, dtype=np.int64)
+        return at // len(b), at % len(b)
+
+    def some_products(self, other: "Quantised", i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``products``, of the pairs (i, j) alone."""
+        dot, bound = np.zeros(len(i)), np.zeros(len(i))
+        for start in range(0, len(i), 1 << 14):
+            some = slice(start, start + (1 << 14))
+            x, y = i[some], j[some]
+            for d in range(0, self.codes.shape[1], EXACT_DIMS):
+                part = slice(d, d + EXACT_DIMS)
+                dot[some] += np.einsum("ij,ij->i", self.codes[x, part].astype(np.float32), other.codes[y, part].astype(np.float32))
+            e, n, f, m = (v.astype(np.float64) for v in (self.error[x], self.length[x], other.error[y], other.length[y]))
+            dot[some] *= self.scale[x] * other.scale[y]
+            bound[some] = e * m + n * f + e * f
+        return dot, bound
+
+    def near(self) -> np.ndarray:
+        """The vectors that the codes stand for, as 32-bit floats; kept."""
+        if not hasattr(self, "_near"):
+            self._near = (self.codes * self.scale[:, None]).astype(np.float32)
+        return self._near
+
     def wide(self, part: slice) -> np.ndarray:
         """Codes as 32-bit floats, which hold sums of their products exactly; those of one slice are kept."""
         if getattr(self, "_part", None) != part:
@@ -122,15 +160,24 @@ def tile_links(
     x = y = np.zeros(0, dtype=np.int64)
     open_pairs = False
     for start in range(0, len(a.scale), ROWS):
-        near, bound = a.products(other, slice(start, start + ROWS))
+        rows = slice(start, start + ROWS)
+        left = len(a.scale[rows])
+        first = start if b is None else 0
+        i, j = a.candidates(other, rows, first, least)
+        if len(i) * DENSE > left * (len(other.scale) - first):
+            near, bound = (x[:, first:].ravel() for x in a.products(other, rows))
+            i, j = np.divmod(np.arange(len(near)), len(other.scale) - first)
+        else:
+            near, bound = a.some_products(other, i + start, j + first)
+        i, j = i + start, j + first
         sure = near - bound >= least + SLACK
         maybe = ~sure & (near + bound >= least - SLACK)
         if b is None:
-            later = np.arange(len(other.scale))[None, :] > np.arange(start, start + len(near))[:, None]
-            sure &= later
-            maybe &= later
+            sure &= j > i
+            maybe &= j > i
         open_pairs = open_pairs or bool(maybe.any())
-        i, j = np.nonzero(maybe if exact is not None else sure)
+        taken = np.flatnonzero(maybe if exact is not None else sure)
+        i, j = i[taken] - start, j[taken]
         if exact is not None:
             kept = np.zeros(len(i), dtype=bool)
             for part in range(0, len(i), 1 << 16):
@@ -213,15 +260,16 @@ def vector_components(vectors: DataFrame, least: float = 0.95) -> DataFrame:
             own[size] = unit(np.array([np.frombuffer(p) for p in pivots if len(p) == size]))
         for batch in batches:
             data = batch.column(1).to_pylist()
-            near, second = [], []
-            for x in data:
-                order = [0, 0]
-                if len(x) in own:
-                    cosine = own[len(x)] @ unit(np.frombuffer(x)[None, :])[0]
-                    order = np.argpartition(-cosine, 1)[:2] if len(cosine) > 1 else order
-                    order = sorted(order, key=lambda k: -cosine[k])
-                near.append(int(order[0]))
-                second.append(int(order[1]))
+            sizes = np.array([len(x) for x in data])
+            near, second = np.zeros((2, len(data)), dtype=np.int32)
+            for size in own.keys() & set(sizes.tolist()):
+                at = np.flatnonzero(sizes == size)
+                for some in np.split(at, range(256, len(at), 256)):
+                    cosine = unit(np.array([np.frombuffer(data[k]) for k in some])) @ own[size].T
+                    near[some] = second[some] = cosine.argmax(axis=1)
+                    if cosine.shape[1] > 1:
+                        cosine[np.arange(len(some)), near[some]] = -np.inf
+                        second[some] = cosine.argmax(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), pa.array(near, pa.int32()), pa.array(second, pa.int32())],
                 names=["point", "data", "copies", "pivot", "second"],

@@ -159,6 +159,26 @@ def test_quantisation_bounds():
         assert (np.abs(near - u @ u.T) <= bound + 1e-12).all()
 
 
+def test_few_pairs_of_a_tile_are_looked_at(monkeypatch):
+    rng = np.random.default_rng(2)
+    u = embdedup.unit(rng.normal(size=(40, 24))[rng.integers(0, 40, 300)] + rng.normal(size=(300, 24)) * rng.choice([0.0, 0.1, 0.25], (300, 1)))
+    a, b = embdedup.Quantised.of(u[:150]), embdedup.Quantised.of(u[150:])
+    monkeypatch.setattr(embdedup, "ROWS", 32)
+    for other, exact in ((b, None), (None, None), (b, (u[:150], u[150:])), (None, (u[:150], u[:150]))):
+        copies = np.arange(1.0, 1 + (150 if other is None else 300))
+        found = []
+        for dense in (0, 1 << 40):
+            monkeypatch.setattr(embdedup, "DENSE", dense)
+            found.append(embdedup.tile_links(a, other, copies, 0.95, exact))
+        assert all(np.array_equal(x, y) for x, y in zip(*found))
+    monkeypatch.setattr(embdedup, "DENSE", 8)
+    monkeypatch.setattr(embdedup.Quantised, "products", None)  # no tile of few links is multiplied out
+    counts, *_, undecided = embdedup.tile_links(a, b, np.ones(300), 0.95)
+    near = u[:150] @ u[150:].T >= 0.95
+    again = embdedup.tile_links(a, b, np.ones(300), 0.95, (u[:150], u[150:]))[0]
+    assert undecided and np.array_equal(counts + again, np.r_[near.sum(axis=1), near.sum(axis=0)])
+
+
 def test_spanning():
     rng = np.random.default_rng(2)
     for _ in range(30):
