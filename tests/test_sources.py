@@ -217,3 +217,11 @@ def test_spans_of_alignments():
 
     assert spans_of("3-4|0.1 0-1|0+0.1  x 5-6|0.2\t1-9|0.1") == {"0.1": (0, 9), "0": (0, 1), "0.2": (5, 6)}
     assert spans_of(None) == spans_of("") == {}
+
+
+def test_own_percepts_need_no_shuffle(spark):
+    rows = [(1, "say-01", "b", "x", "0", "0.1", 1), (2, "say-01", None, "y", "0", "0.0", 0)]
+    edges = spark.createDataFrame(rows, "edge_id long, concept1 string, concept2 string, relation string, g1 string, g2 string, label int")
+    own, joined = edgefilter.vectors(edges), edgefilter.vectors(edges, edgefilter.percepts(edges))
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    assert own.orderBy("edge_id").select("edge_id", "features").collect() == joined.orderBy("edge_id").select("edge_id", "features").collect()
