@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, prepare
+from .common import byte_texts, prepare, settle
 from .components import connected_components
 from .embdedup import spanning
 
@@ -262,8 +262,6 @@ def simhash_components(docs: DataFrame, k: int = 3, max_bits: int = 3) -> DataFr
     hexadecimal digits.  Texts without a word have fingerprint zero and link like
     any other.  A repeated doc_id gives a row each time; an empty table none.
     """
-    from .common import settle
-
     prepare(docs.sparkSession)
     fps = settle(fingerprints(docs, k))
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
@@ -411,39 +409,81 @@ def set_links(sets: list[np.ndarray], side: np.ndarray, least: float) -> tuple[n
     return x[tree], y[tree]
 
 
-def _similar(homes: DataFrame, least: float) -> DataFrame:
-    """``(a, b)``: links that span the components of each home of ``homes(home, id, shingles)``.
-
-    Two ids of one home link if their shingle sets have a Jaccard similarity of
-    ``least`` or more.  A home is read by one task, one of over ``TEXTS`` texts or
-    ``SET_BYTES`` in tiles (pairs of blocks), so rows grow with texts and not with pairs.
-    """
+def _compared(tiles: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``: links that span the similar texts of each of ``tiles(home, i, j, side, id, shingles)``, a task for each."""
     import pyarrow as pa
 
-    large = homes.groupBy("home").agg(*_blocks()).where(F.col("blocks") > 1)
-    block = F.coalesce(F.pmod(F.xxhash64("id", F.lit("tile")), F.col("blocks")), F.lit(0)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)).alias("y")
-    dealt = (
-        homes.join(large, "home", "left").select("home", "id", "shingles", block.alias("x"), other)
-        .select(
-            "home", "id", "shingles", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"),
-            F.when(F.col("x") < F.col("y"), 1).when(F.col("x") > F.col("y"), 2).otherwise(0).cast("int").alias("side"),
-        )
-    )
-
     def run(table):
         ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
         sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("shingles")]
         x, y = set_links(sets, side, least)
         return pa.table({"a": pa.array(ids[x], pa.int64()), "b": pa.array(ids[y], pa.int64())})
 
-    # Of a tile (i, j) the block i has side 1 and j side 2; of (i, i) all have side 0.
-    return dealt.groupBy("home", "i", "j").applyInArrow(run, "a long, b long")
+    return tiles.select("home", "i", "j", "side", "id", "shingles").groupBy("home", "i", "j").applyInArrow(run, "a long, b long")
+
+
+def _similar(homes: DataFrame, sets: DataFrame, least: float, buckets: Callable[[], DataFrame] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """``(a, b)``: links that span the components of each home of ``homes(home, id)``, texts in ``sets(id, shingles, size)``.
+
+    Two ids of one home link if their shingle sets have a Jaccard similarity of
+    ``least`` or more.  A home is read by one task; one of over ``TEXTS`` texts or
+    ``SET_BYTES`` is dealt into blocks and compared in two rounds.  In the first every
+    block meets block 0 (and that itself).  Most texts of a family are then of one
+    component, so in the second only the texts outside a home's largest component
+    meet all others: a pair inside it needs no comparison, one with block 0 had its own.
+    Rows grow with the texts, and with the blocks only for texts of that rest.
+
+    A home with so large a rest that they are more than the ``buckets(id, bucket)`` of
+    its texts hold is parted into these, where fewer copies of its texts are read.
+    ``known`` are links that were found before.
+    """
+    sizes = sets.select("id", "size")
+    large = settle(homes.join(sizes, "id").groupBy("home").agg(*_blocks()).where(F.col("blocks") > 1))
+    blocks = sent(large)
+    block = F.coalesce(F.pmod(F.xxhash64("id", F.lit("tile")), F.col("blocks")), F.lit(0)).cast("int").alias("x")
+    placed = homes.join(sets, "id").join(blocks, "home", "left").select("home", "id", "shingles", F.coalesce("blocks", F.lit(1)).alias("blocks"), block)
+    # Of a tile (0, j) block 0 has side 1 and block j side 2; of (0, 0) all have side 0.
+    tile = F.explode(F.when(F.col("x") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("x"))).alias("j")
+    side = F.when(F.col("j") == 0, 0).when(F.col("x") == 0, 1).otherwise(2).alias("side")
+    first = settle(_compared(placed.select("home", "id", "shingles", "x", F.lit(0).alias("i"), tile).withColumn("side", side), least))
+    if large.isEmpty():
+        return first
+    inside = settle(homes.join(sizes, "id").join(blocks, "home").select("home", "id", "size", "n", "blocks", block))
+    links = first if known is None else first.unionByName(known)
+    labels = connected_components(links.join(inside.select(F.col("id").alias("a")).distinct(), "a", "left_semi"))
+    tagged = inside.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    share = tagged.groupBy("home", "component").agg(F.count("*").alias("k")).groupBy("home")
+    top = sent(share.agg(F.max_by("component", F.struct("k", "component")).alias("top")))
+    rest = settle(tagged.join(top, "home").where((F.col("component") != F.col("top")) & (F.col("x") > 0)).drop("component", "top", "x"))
+    halves = F.greatest(F.ceil(F.count("*") / (TEXTS // 2)), F.ceil(F.sum("size") / (SET_BYTES // 2))).cast("int")
+    parts = rest.groupBy("home").agg(F.count("*").alias("r"), halves.alias("halves"), F.first("n").alias("n"), F.first("blocks").alias("blocks"))
+    copies = F.col("r") * (F.col("blocks") - 1) + F.col("n") * F.col("halves")
+    parts = settle(parts.select("home", "n", "halves", copies.alias("copies")))
+    out = first
+    if buckets is not None:
+        long = parts.where(F.col("copies") > (BANDS + 1) * F.col("n")).select("home", "copies")
+        if not long.isEmpty():
+            own = settle(buckets().join(inside.select("home", "id", "size").join(sent(long), "home"), "id"))
+            filled = own.groupBy("home", "bucket").agg(*_blocks(), F.first("copies").alias("copies")).where(F.col("n") > 1)
+            cheaper = filled.groupBy("home").agg(F.sum(F.col("n") * F.col("blocks")).alias("read"), F.first("copies").alias("copies"))
+            cheaper = settle(cheaper.where(F.col("read") < F.col("copies")).select("home"))
+            held = own.join(sent(cheaper), "home", "left_semi").join(filled.select("home", "bucket"), ["home", "bucket"], "left_semi")
+            parted = settle(held.select(F.xxhash64("home", "bucket").alias("home"), "id"))
+            out = out.unionByName(_similar(parted, sets, least, known=links))
+            parts = parts.join(cheaper, "home", "left_anti")
+    # The rest has side 1, in blocks of its own; block j of all texts side 2.
+    meets = sent(parts.select("home", "halves"))
+    row = F.pmod(F.xxhash64("id", F.lit("rest")), F.col("halves")).cast("int").alias("i")
+    own = rest.join(meets, "home").join(sets.select("id", "shingles"), "id")
+    own = own.select("home", "id", "shingles", row, F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("j"), F.lit(1).alias("side"))
+    others = placed.where(F.col("x") > 0).join(meets, "home")
+    others = others.select("home", "id", "shingles", F.explode(F.sequence(F.lit(0), F.col("halves") - 1)).alias("i"), F.col("x").alias("j"), F.lit(2).alias("side"))
+    return out.unionByName(settle(_compared(own.unionByName(others), least)))
 
 
 def _blocks() -> list:
-    """Aggregates of (id, shingles) rows: their number, and the blocks that a home of them is dealt into."""
-    n, size = F.count("*"), F.sum(F.length("shingles"))
+    """Aggregates of (id, size) rows: their number, and the blocks that a home of them is dealt into."""
+    n, size = F.count("*"), F.sum("size")
     whole = (n <= TEXTS) & (size <= SET_BYTES)
     halves = F.greatest(F.ceil(n / (TEXTS // 2)), F.ceil(size / (SET_BYTES // 2)))
     return [n.alias("n"), F.when(whole, 1).otherwise(halves).cast("int").alias("blocks")]
@@ -454,27 +494,6 @@ def sent(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= SENT_IDS else ids
 
 
-def _homes(groups: DataFrame, sets: DataFrame, members: Callable[[], DataFrame]) -> DataFrame:
-    """``(home, id, shingles)``: each text once with its group of ``groups(id, home)``.
-
-    A group of several blocks whose buckets (of ``members``: id, bucket) are read with
-    fewer copies of its texts is parted into these, so a long chain of candidates isn't
-    compared end to end.
-    """
-    whole = groups.join(sets, "id").select("home", "id", "shingles")
-    large = sent(whole.groupBy("home").agg(*_blocks()).where(F.col("blocks") > 1))
-    if large.isEmpty():
-        return whole
-    inside = members().join(groups.join(large.select("home"), "home", "left_semi"), "id").join(sets, "id")
-    buckets = inside.groupBy("home", "bucket").agg(*_blocks()).where(F.col("n") > 1)
-    cheaper = (
-        buckets.groupBy("home").agg(F.sum(F.col("n") * F.col("blocks")).alias("copies")).join(large, "home")
-        .where(F.col("copies") < F.col("n") * F.col("blocks")).select("home")
-    )
-    kept = inside.join(buckets.select("home", "bucket"), ["home", "bucket"], "left_semi").join(cheaper, "home", "left_semi")
-    return whole.join(cheaper, "home", "left_anti").unionByName(kept.select(F.xxhash64("home", "bucket").alias("home"), "id", "shingles"))
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bits: int = 3) -> DataFrame:
     """``(doc_id, component_id)`` of the documents whose near-duplicate has a smaller doc_id, by shingles of ``k`` words.
 
@@ -485,14 +504,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bi
     about ten bits), pairs that share a band of min-hashes: 20 bands of 5 miss a
     pair of similarity 0.8 once in 3000 times.  What such candidates join, by chains
     too, is a group, and all pairs of a group are compared in tasks that read its
-    texts once; of a large group those that share a bucket, where these need less
-    reading (``_homes``).
+    texts once; of a large group not those that are joined already, and those that
+    share a bucket only, where these need less reading (``_similar``).
 
     A component is named by its smallest doc_id, which isn't listed itself; nor is
     a text without a word, or a null doc_id.  Rows of one doc_id count as one
     document.
     """
-    from .common import discard, settle
+    from .common import discard
 
     profiles = settle(_profiles(docs, k).where(F.col("class").isNotNull() & F.col("doc_id").isNotNull()))
     classes = settle(
@@ -514,19 +533,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, max_bi
     groups = settle(connected_components(pairs).select(F.col("node").alias("id"), F.col("component").alias("home")))
     prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sent(groups.select(F.col("id").alias("doc_id"))), "doc_id")
-    sets = settle(_sets(own, k).groupBy("id").agg(F.min("shingles").alias("shingles")))
+    sets = settle(_sets(own, k).groupBy("id").agg(F.min("shingles").alias("shingles")).withColumn("size", F.length("shingles")))
 
     def members() -> DataFrame:
         linked = connected_components(links).withColumnRenamed("node", "fp")
         kin = classes.select("id", "fp").join(linked, "fp", "left").select("id", F.xxhash64(F.coalesce("component", "fp")).alias("bucket"))
         return kin.unionByName(keys.select("id", F.xxhash64("band", "key").alias("bucket"))).distinct()
 
-    similar = settle(_similar(_homes(groups, sets, members), similarity))
+    similar = _similar(groups, sets, similarity, members)
     labels = connected_components(similar)
     of_class = classes.join(labels.withColumnRenamed("node", "id"), "id", "left")
     out = profiles.join(of_class.select("class", F.coalesce("component", "id").alias("component_id")), "class")
     listed = settle(out.select("doc_id", "component_id").where(F.col("doc_id") != F.col("component_id")))
-    discard(profiles, classes, links, groups, sets, similar)
+    discard(profiles, classes, links, groups, sets)
     return listed
 
 

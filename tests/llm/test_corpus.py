@@ -207,3 +207,47 @@ def test_near_duplicates_of_a_family_make_few_rows(spark, monkeypatch, texts):
         todo += fresh
     assert 200 < len(reached) < 400 and max(made) <= 20 * 400
     assert {d for d, c in map(tuple, found) if c == 0} == reached - {0}
+
+
+def _made(spark, seen):
+    """The most rows that a join or an explode of the executions since ``seen`` made, but for those of band keys and cells."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), [0]
+    for i in range(seen, store.executionsCount()):
+        if store.execution(i).isDefined():
+            values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                if "Join" in node.name() or "Generate" in node.name():
+                    metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                    got = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                    made += [int(v.get().replace(",", "")) for v in got if v.isDefined()]
+    return max(made)
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_similar_texts_of_a_large_home_are_read_a_few_times(spark, monkeypatch, apart):
+    """Rows of a home in 25 blocks grow with its texts; links outside its largest component are found, too."""
+    monkeypatch.setattr(simhash, "TEXTS", 64)
+    r = np.random.default_rng(2)
+    core, far = r.integers(0, 1 << 62, (2, 60), dtype=np.uint64)
+    rows, wanted = [], []
+    for i in range(800):
+        close = i % 50 and not apart
+        own = np.r_[core[:56], r.integers(0, 1 << 62, 4, dtype=np.uint64)] if close else r.integers(0, 1 << 62, 60, dtype=np.uint64)
+        if i % 200 == 150:
+            own = np.r_[far[:56], own[:4]]
+            wanted.append(i)
+        rows.append((i, bytearray(np.unique(own).tobytes())))
+    sets = spark.createDataFrame(rows, "id long, shingles binary").withColumn("size", F.length("shingles"))
+    homes = spark.range(800).select(F.lit(7).cast("long").alias("home"), "id")
+    common.prepare(spark)
+    seen = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    links = simhash._similar(homes, sets, 0.8).collect()
+    if not apart:
+        assert _made(spark, seen) <= 3 * 800
+    group = {i: i for i in range(800)}
+    for a, b in links:
+        x, y = group[a], group[b]
+        group = {i: min(x, y) if g in (x, y) else g for i, g in group.items()}
+    close = [i for i in range(800) if i % 50 and not apart]
+    assert len({group[i] for i in wanted}) == 1 and len({group[i] for i in close}) <= 1
+    assert len(set(group.values())) == 800 - len(wanted) + 1 - max(0, len(close) - 1)
