@@ -251,3 +251,35 @@ def test_similar_texts_of_a_large_home_are_read_a_few_times(spark, monkeypatch,
     close = [i for i in range(800) if i % 50 and not apart]
     assert len({group[i] for i in wanted}) == 1 and len({group[i] for i in close}) <= 1
     assert len(set(group.values())) == 800 - len(wanted) + 1 - max(0, len(close) - 1)
+
+
+def test_mixlm_weights_come_from_all_training_texts(spark, monkeypatch):
+    """Every training text and every word is read for the mixing weights, each by tables that lack it."""
+    texts = [f"w{i} x{i % 7} one two three" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    read = []
+    monkeypatch.setattr(mixlm, "newton_sums", _bits_read)
+    monkeypatch.setattr(mixlm, "newton_step", lambda parts, w: read.append(sum(np.frombuffer(r["sums"])[0] for r in parts.collect())) or w)
+    model, _ = mixlm.train(docs, F.lit(True))
+    words = model.words
+    split = [[*t.encode().split(), mixlm.END] for t in texts]
+    kinds = [words.ids[w] if words.ids[w] < words.singles else words.singles + mixlm.group_of(w) for t in split for w in t]
+    assert read == [len(words.spell([w for w in words.tokens if w != mixlm.END])[2]), len(words.paths.spread(np.array(kinds))[0])]
+
+
+def _bits_read(x, y, gate, w):
+    out = np.zeros((len(w), len(x), len(x) + 1))
+    out[0, 0, 0] = len(y)
+    return out
+
+
+def test_newton_step_finds_the_best_weights(spark):
+    r = np.random.default_rng(6)
+    x, gate = r.normal(size=(3, 60_000)).astype(np.float32), r.integers(0, 2, 60_000)
+    true = np.array([[0.9, -0.2, 0.4], [0.1, 0.6, 0.3]])
+    y = (r.random(60_000) < 1 / (1 + np.exp(-(true[gate].T * x).sum(axis=0)))).astype(np.int8)
+    w = np.full((2, 3), 0.4)
+    for _ in range(4):
+        halves = [mixlm.newton_sums(x[:, a : a + 30_000], y[a : a + 30_000], gate[a : a + 30_000], w) for a in (0, 30_000)]
+        w = mixlm.newton_step(spark.createDataFrame([(bytearray(h.tobytes()),) for h in halves], "sums binary"), w)
+    assert np.abs(w - true).max() < 0.06
