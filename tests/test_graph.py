@@ -253,3 +253,37 @@ def test_indexed_percepts(spark):
     assert all(abs(sum(map(float, r["value"].split("\t"))) - 1) < 1e-9 for r in edgefilter.posterior_lines(judged).collect())
     none = edges.where("false")
     assert edgefilter.numbered(edgefilter.percepts(none)).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [500_000, 200])
+def test_coverage_shuffles_no_mention_of_a_body(spark, tmp_path, monkeypatch, at_once):
+    """Sentences of many words, each in many documents: only what the summaries ask for is shuffled, in one pass or several."""
+    from tessera.plans import catalog
+
+    monkeypatch.setattr(catalog, "WANTED", at_once)
+    words = [f"w{i}" for i in range(300)]
+    texts = [f"w1 w2 w3 w{i} w{i}. w7. " + " ".join(words[i:] + words[:i]) + ". w3 w2 w5. " + "w9" for i in range(200)] + ["w7 w7 q. w7", "w5 q"]
+    rows = [(i, "s", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    seen = store.executionsCount()
+    found = catalog.coverage_cascade(spark, str(tmp_path)).collect()
+    moved = 0
+    for i in range(seen, store.executionsCount()):
+        if store.execution(i).isDefined():
+            values, nodes = store.executionMetrics(i), store.planGraph(i).allNodes()
+            for node in (nodes.apply(k) for k in range(nodes.size())):
+                if node.name() == "Exchange":
+                    metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                    got = [values.get(m.accumulatorId()) for m in metrics if m.name() == "shuffle records written"]
+                    moved = max([moved, *(int(v.get().replace(",", "")) for v in got if v.isDefined())])
+    cut = [[s.split() for s in t.split(".")] for t in texts]
+    body = {p for c in cut for s in c[1:] for p in zip(s, s[1:], (k % 2 for k in range(len(s))))}
+    ordered, near, known = {p[:2] for p in body}, {(a, b) for c in cut for s in c[1:] for a in s for b in s}, {w for c in cut for s in c[1:] for w in s}
+    classes = []
+    for a, b, rel in {p for c in cut for s in c[:1] for p in zip(s, s[1:], (k % 2 for k in range(len(s))))}:
+        same, both = (a, b) in near, a in known and b in known
+        classes.append("exact" if (a, b, rel) in body else "wo_relation" if (a, b) in ordered else "same_sent" if same else "diff_sent" if both else "no_match")
+    assert {c: found[0][c] for c in sorted(set(classes))} == {c: classes.count(c) for c in sorted(set(classes))} and "same_sent" in classes
+    assert found[0]["total"] == len(classes) and moved < 10_000
+
