@@ -43,14 +43,16 @@ def solve(gains: dict[int, float], roots: set[int], edges: dict[tuple[int, int],
     gain, or the best of as many as may still be chosen.  After ``limit`` steps the
     best forest so far is returned, marked as not optimal.
     """
-    into: dict[int, list[tuple[float, int]]] = {v: [] for v in gains}
+    cheap: dict[int, list[tuple[float, int]]] = {v: [] for v in gains}
     for (a, b), w in edges.items():
         if a != b and a in gains and b in gains:
-            into[b].append((w, a))
-    for v in into:
-        into[v].sort(key=lambda x: (-x[0], x[1]))
+            cheap[b].append((-w, a))
+    for ways in cheap.values():
+        if len(ways) > 1:
+            ways.sort()
     if not n_nodes and not n_edges:
-        return solve_free(gains, roots, into, limit)
+        return solve_free(gains, roots, cheap, edges, limit)
+    into = {v: [(-w, a) for w, a in ways] for v, ways in cheap.items()}
     top = {v: gains[v] + max([w for w, _ in into[v][:1]] + ([0.0] if v in roots else []), default=float("-inf")) for v in gains}
     order = sorted((v for v in gains if top[v] > float("-inf")), key=lambda v: (-top[v], v))
     wanted_nodes, wanted_edges = n_nodes or None, n_edges or None
@@ -194,18 +196,16 @@ def arborescence(arcs: list[list[tuple[float, int, int, int]]]) -> list[int]:
     return [way and way[1] for way in into]
 
 
-def solve_free(gains: dict[int, float], roots: set[int], into: dict[int, list[tuple[float, int]]], limit: int) -> Solution:
-    """Best forest of any size, to within 1e-11 a node.
+def solve_free(gains: dict[int, float], roots: set[int], into: dict[int, list[tuple[float, int]]], weight: dict[tuple[int, int], float], limit: int) -> Solution:
+    """Best forest of any size, to within 1e-11 a node; ``into`` has (-weight, parent) in order.
 
     A relaxation counts as many steps as it has nodes.  If it leaves out a node that
     others hang below, that node is taken in or out for good and both are tried.
     """
     below: dict[int, list[int]] = {v: [] for v in gains}
-    weight = {}
     for v, ways in into.items():
-        for w, p in ways:
+        for _, p in ways:
             below[p].append(v)
-            weight[p, v] = w
     roots = {v for v in roots if v in gains}
     if not roots:
         return Solution()
@@ -222,20 +222,57 @@ def solve_free(gains: dict[int, float], roots: set[int], into: dict[int, list[tu
                     todo.append(v)
         return found
 
+    TOP, OUT = min(gains) - 1, max(gains) + 1
+
     def relaxed(alive: set[int], forced: frozenset) -> dict[int, int | None]:
-        """Parents of the nodes that aren't left out; the roots' is None."""
+        """Parents of the nodes that aren't left out; the roots' is None.
+
+        A node takes its cheapest way in; of equal ones being a root, then the first
+        parent, then being left out.  A way that leads to the top stands; what is caught
+        in a cycle or hangs below one is left to ``arborescence``, all else being the top.
+        """
         names = sorted(alive)
-        number = {v: i for i, v in enumerate(names, 1)}
-        arcs: list[list[tuple[float, int, int, int]]] = [[]]
-        for i, v in enumerate(names, 1):
-            own = [(-gains[v] - w, number[p], number[p], i) for w, p in into[v] if p in number]
-            if v in roots:
-                own.append((-gains[v], 0, 0, i))
-            if v not in forced:
-                own.append((1e-11, len(names) + 1, 0, i))
-            arcs.append(own)
-        ways = arborescence(arcs)
-        return {v: names[ways[i] - 1] if ways[i] else None for i, v in enumerate(names, 1) if ways[i] <= len(names)}
+        pick = {}
+        for v in names:
+            own = -gains[v]
+            least, way = (own, TOP) if v in roots else (float("inf"), OUT)
+            for w, p in into[v]:
+                if p in alive:
+                    if own + w < least:
+                        least, way = own + w, p
+                    break
+            pick[v] = OUT if least > 1e-11 and v not in forced else way
+        state = {TOP: 1, OUT: 1}  # 1: leads to the top, 2: is caught, 0: on the way
+        for v in names:
+            path = []
+            while v not in state:
+                state[v] = 0
+                path.append(v)
+                v = pick[v]
+            end = state[v] or 2
+            for x in path:
+                state[x] = end
+        caught = [v for v in names if state[v] == 2]
+        if caught:
+            number = {v: i for i, v in enumerate(caught, 1)}
+            arcs: list[list[tuple[float, int, int, int]]] = [[]]
+            for i, v in enumerate(caught, 1):
+                own, inner = -gains[v], []
+                outer = [(own, TOP, 0, i)] if v in roots else []
+                if v not in forced:
+                    outer.append((1e-11, OUT, 0, i))
+                for w, p in into[v]:
+                    if p in number:
+                        inner.append((own + w, p, number[p], i))
+                    elif p in alive:
+                        outer.append((own + w, p, 0, i))
+                if outer:
+                    inner.append(min(outer))
+                arcs.append(inner)
+            ways = arborescence(arcs)
+            for i, v in enumerate(caught, 1):
+                pick[v] = ways[i]
+        return {v: None if p == TOP else p for v, p in pick.items() if p != OUT}
 
     def worth(parents: dict[int, int | None]) -> float:
         return sum(gains[v] + (0.0 if p is None else weight[p, v]) for v, p in parents.items())
@@ -263,26 +300,28 @@ def solve_free(gains: dict[int, float], roots: set[int], into: dict[int, list[tu
         return {v: parents[v] for v in parents if v in kept}
 
     # A first forest: all that is hung upon is taken in.
-    alive, forced, steps = reached(frozenset()), frozenset(), 0
+    alive = everything = reached(frozenset())
+    forced, steps = frozenset(), 0
+    plain = relaxed(alive, forced)
     while steps <= limit:
         steps += len(alive)
-        parents = relaxed(alive, forced)
-        keep(grounded(parents))
+        parents = relaxed(alive, forced) if forced else plain
         lost = hanging(parents)
+        keep(grounded(parents) if lost else parents)
         if not lost:
             break
         forced |= frozenset(lost)
     todo = [(frozenset(), frozenset())]
     while todo:
         forced, out = todo.pop()
-        alive = reached(out)
+        alive = reached(out) if out else everything
         if not forced <= alive:
             continue
         steps += len(alive)
         if steps > limit:
             best.optimal = False
             break
-        parents = relaxed(alive, forced)
+        parents = relaxed(alive, forced) if forced or out else plain
         if worth(parents) <= best.objective + 1e-11 * len(alive):
             continue
         if not parents:
@@ -290,7 +329,7 @@ def solve_free(gains: dict[int, float], roots: set[int], into: dict[int, list[tu
             todo += [(frozenset([v]), out) for v in sorted(roots & alive, key=lambda v: (gains[v], -v))]
             continue
         lost = hanging(parents)
-        keep(grounded(parents))
+        keep(grounded(parents) if lost else parents)
         if lost:
             v = max(lost, key=lambda p: (sum(q == p for q in parents.values()), -p))
             todo += [(forced, out | {v}), (forced | {v}, out)]
