@@ -371,3 +371,27 @@ def test_keep_one(spark):
     assert kept.columns == table.columns
     assert {r["doc_id"] for r in kept.collect()} == wanted | {900, 901, None}
     assert simhash.keep_one(docs(spark, [])).count() == 0
+
+
+def test_tokens_of_a_mixed_model():
+    """Tokens are parted and lowered as bytes are; what is known of frequent ones is not worked out again with every portion."""
+    from tessera.llm import mixlm
+
+    r = random.Random(5)
+    pieces = [*b" \t\n\x0b\x0c\r\x00\x1c\x1f\x85aBz", *"É", *"İ", " ", " "]
+    pieces = [bytes([x]) if isinstance(x, int) else x.encode() for x in pieces]
+    for _ in range(100):
+        texts = [b"".join(r.choices(pieces, k=r.randint(0, 12))) for _ in range(r.randint(0, 8))]
+        bounds, which, words = mixlm.split_words(texts)
+        assert [[words[i] for i in which[a:b]] for a, b in zip(bounds, bounds[1:])] == [[*t.lower().split(), mixlm.END] for t in texts]
+
+    zero = np.zeros(mixlm.GROUPS, dtype=np.int64)
+    known = [mixlm.END, *[b"w%d" % i for i in range(300)]]
+    worker = mixlm.Worker(mixlm.Vocabulary(known, np.full(301, 2), 700, 400, zero + 20, zero + 12, 0.5))
+    asked = []
+    describe = worker.describe
+    worker.describe = lambda words, *a: asked.extend(words) or describe(words, *a)
+    for i in range(3):
+        bits = mixlm.Bits(worker, [b" ".join(known[1:]) + b" new%d" % i])
+        assert (bits.known[:300] == np.arange(1, 301)).all() and bits.known[300:].tolist() == [-1, 0]
+    assert asked == [b"new0", b"new1", b"new2"]
