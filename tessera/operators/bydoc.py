@@ -11,6 +11,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,6 +196,77 @@ class Texts:
         return out
 
 
+def expanded_counts(sentences: list[list[list[str]]]) -> tuple[int, int, int]:
+    """Of a document: rows, summed n_sources and n_true of ``docgraph.merge_expanded`` of its ``docgraph.expand_edges``.
+
+    A sentence is a list of runs of concepts, each of which has an edge to the next of its run.
+    Of the pairs only numbers are made: a concept's partners are the union of its
+    sentences, which are numbers with a bit for each concept.
+    """
+    bits: dict[str, int] = {}
+    places: dict[str, list[int]] = {}
+    masks, sizes, sources, true = [], [], 0, 0
+    for runs in sentences:
+        k = Counter(chain.from_iterable(runs)) if len(runs) > 1 else Counter(runs[0])
+        for w in k:
+            if w not in bits:
+                bits[w] = 1 << len(bits)
+                places[w] = []
+            places[w].append(len(masks))
+        masks.append(reduce(or_, map(bits.__getitem__, k), 0))
+        sizes.append(len(k))
+        n = sum(map(len, runs))
+        sources += n * n
+        if len(k) == n and len(runs) == 1:
+            true += max(n - 1, 0)
+        else:
+            true += sum(k[a] * k[b] for a, b in set(chain.from_iterable(zip(t, t[1:]) for t in runs)))
+    anchors = sum(sizes[at[0]] if len(at) == 1 else reduce(or_, map(masks.__getitem__, at)).bit_count() for at in places.values())
+    return anchors, sources, true
+
+
+def edge_kinds(sentences: list[list[list[str]]], relations: tuple[str, ...]) -> tuple[int, Counter]:
+    """Of a document: how many concepts differ, and how many different edges have each (first, second) relation as ``features.relation_ranks`` has them.
+
+    The relations of a run's edges are ``relations`` by turns.
+    """
+    concepts = set(chain.from_iterable(chain.from_iterable(sentences)))
+    turns = len(relations)
+    of = {r: Counter() for r in relations}
+    for runs in sentences:
+        for t in runs:
+            for i, r in enumerate(relations):
+                of[r].update(zip(t[i::turns], t[i + 1 :: turns]))
+    kinds: Counter = Counter()
+    more = [e for e, n in Counter(chain.from_iterable(of.values())).items() if n > 1] if turns > 1 else []
+    for e in more:
+        first, second, *_ = sorted((-c[e], r) for r, c in of.items() if e in c)
+        kinds[first[1], second[1]] += 1
+        for c in of.values():
+            c.pop(e, None)
+    kinds.update({(r, None): len(c) for r, c in of.items() if c})
+    return len(concepts), kinds
+
+
+def each_text(rows: DataFrame, sentences: Callable[[list], list[list[list[str]]]], count: Callable[..., tuple | None], names: list[str]) -> DataFrame:
+    """``(doc, *names)``: the whole numbers that ``count`` has of the sentences of each of ``rows(doc, parts)``; None leaves a document out."""
+    import pyarrow as pa
+
+    spark = rows.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches):
+        for batch in batches:
+            found = [count(doc, sentences(parts)) for doc, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            held = batch.column(0).filter(pa.array([x is not None for x in found], pa.bool_()))
+            sums = [pa.array([x[i] for x in found if x is not None], pa.int64()) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([held, *sums], names=["doc", *names])
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    return rows.select("doc", "parts").mapInArrow(run, ", ".join([f"doc {kind}", *[f"{n} long" for n in names]]))
+
+
 def _solver(weights: dict[str, float], length: str, limit: int) -> Callable[[Graph, float], d.Solution]:
     """The best forest of a graph with ``cost`` for every wrong tag added to its gains."""
     held: list[_Scores] = []

@@ -5,8 +5,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import decode, learn
-from tessera.plans import catalog
+from tessera.operators import bydoc, decode, docgraph, features, learn
+from tessera.plans import catalog, lexical
 
 SF = "/root/testdata/sf0.001"
 WEIGHTS = {"1 n bias": 0.3, "1 n freq 2": 0.5, "0 n dep avg 2": 0.1, "1 e bias": -0.2, "1 e rel fst even": 0.4, "1 e rel sec odd p2": 0.7, "0 e rel fst odd sec even": 0.2}
@@ -69,3 +69,39 @@ def test_online_learning_of_texts(spark, table):
     some = catalog._texts(spark, table)
     some.rows = some.rows.where(F.col("doc").isin(1, 2, 3))
     assert learn.fit(some, "perceptron", passes=1, mode="online")
+
+
+def test_expanded_counts_equal_those_of_tables(spark, table):
+    """The pairs of a sentence, texts that share an id included, are numbers and no rows."""
+    g = lexical.Lexical(spark, table)
+    merged = docgraph.merge_expanded(docgraph.expand_edges(g.nodes, g.edges)).where("doc is not null").groupBy("doc")
+    wanted = merged.agg(F.count("*").alias("anchors"), F.sum("n_sources").alias("sources"), F.sum("n_true").alias("true_sources"))
+    found = catalog.edge_expand(spark, table)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
+def test_a_long_sentence_makes_no_pairs():
+    words = [f"w{i}" for i in range(20_000)]
+    assert bydoc.expanded_counts([[words], [[]], [["w1", "w1", "w2"]]]) == (20_000**2, 20_000**2 + 9, 19_999 + 6)
+
+
+def test_feature_numbers_equal_those_of_tables(spark, table):
+    """The keys of the features of every node and edge, which are made once for each kind of edge."""
+    g = lexical.Lexical(spark, table)
+    stats = features.node_stats(g.nodes)
+    edge = features.edge_features(features.with_ends(features.edge_stats(g.edges.withColumn("n", F.lit(1))), stats))
+    count = lambda df, name: df.groupBy("doc").agg(F.sum(F.size(F.array_distinct(F.transform("feats", lambda e: e["feat"])))).alias(name))
+    wanted = count(edge, "edges").join(count(features.node_features(stats), "nodes"), "doc").select("doc", "nodes", "edges")
+    found = catalog.feature_long_counts(spark, table)
+    assert sorted(map(tuple, found.where("doc is not null").collect())) == sorted(map(tuple, wanted.collect()))
+    assert [tuple(r)[1:] for r in found.where("doc is null").collect()] == [(0, 202)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
+def test_kinds_of_edges():
+    sentences = [[["a", "b", "c"]], [["x", "a", "b"], ["c", "a"]], [["y", "b", "c"]], [["z", "b", "c"]]]
+    concepts, kinds = bydoc.edge_kinds(sentences, ("even", "odd"))
+    assert concepts == 6 and kinds == {("even", "odd"): 1, ("odd", None): 1, ("even", None): 4}
